@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import exact_dedup, simhash
+from sedimenta.llm import exact_dedup, mixing, packing, quality, simhash
 
 
 def _table(spark, sf_dir, name):
@@ -21,9 +21,26 @@ def op7_simhash(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "origin": "source"})
+
+
+def op9_quality(spark, sf_dir):
+    judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.withColumnsRenamed({"id": "doc_id", "host": "source", "path": "lang"})
+
+
+def op10_packing(spark, sf_dir):
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
