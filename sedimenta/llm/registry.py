@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import chat, exact_dedup, mixing, packing, quality, simhash, topk, urls
+from sedimenta.llm import chat, exact_dedup, line_dedup, mixing, packing, quality, simhash, topk, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -27,6 +27,11 @@ def op2_exact_dedup(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    clean = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op5_topk(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -58,6 +63,7 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op5_topk": op5_topk,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
@@ -81,6 +87,15 @@ ORACLES = {
                 sum(length(role) + length(text) + 16 + length(regexp_replace(role || text, '[^<>\\]', '', 'g'))) AS chars
             FROM t GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g""",
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS said, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+        w AS (SELECT *, greatest(len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')), 1) AS weight FROM l),
+        p AS (SELECT a.doc_id AS d, a.line, a.weight, b.doc_id AS e, a.line - b.line AS shift
+            FROM w a JOIN w b ON a.said = b.said AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.line < a.line)),
+        i AS (SELECT *, line - row_number() OVER (PARTITION BY d, e, shift ORDER BY line) AS island FROM p),
+        r AS (SELECT d, line FROM (SELECT *, sum(weight) OVER (PARTITION BY d, e, shift, island) AS whole FROM i) WHERE whole >= 50 GROUP BY d, line)
+        SELECT doc_id, count(*) AS n_lines, count(r.line) AS removed, sha256(coalesce(string_agg(said, chr(10) ORDER BY w.line) FILTER (r.line IS NULL), '')) AS clean_sha256
+        FROM w LEFT JOIN r ON r.d = w.doc_id AND r.line = w.line GROUP BY doc_id""",
     "op5_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
