@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import chat, exact_dedup, line_dedup, mixing, packing, quality, simhash, topk, urls
+from sedimenta.llm import chat, exact_dedup, line_dedup, lm_scoring, mixing, packing, quality, simhash, topk, urls
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -32,6 +32,11 @@ def op3_line_dedup(spark, sf_dir):
     return clean.select("doc_id", "n_lines", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    scored = lm_scoring.score(_table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op5_topk(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_chat": op1_chat,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_topk": op5_topk,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
