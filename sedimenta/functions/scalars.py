@@ -132,13 +132,18 @@ def fmt_time(seconds) -> Column:
 _UNITS = ("KB", "MB", "GB", "TB", "PB")
 
 
+def _fixed(v: Column, places: int, unit: str) -> Column:
+    """A number with fixed places, halves to even."""
+    return F.format_string(f"%.{places}f {unit}", F.bround(v, places))
+
+
 def fmt_bytes(n) -> Column:
     """Sizes in evidence: whole bytes, else three figures or so."""
     b = col(n).cast("double")
     out = F.when(b <= 0, F.lit("0 B")).when(b < 1024, F.format_string("%d B", col(n).cast("long")))
     for i, unit in enumerate(_UNITS):
         v = b / float(1024 ** (i + 1))
-        text = F.when(v >= 100, F.format_string("%.0f " + unit, v)).when(v >= 10, F.format_string("%.1f " + unit, v)).otherwise(F.format_string("%.2f " + unit, v))
+        text = F.when(v >= 100, _fixed(v, 0, unit)).when(v >= 10, _fixed(v, 1, unit)).otherwise(_fixed(v, 2, unit))
         out = out.when(v < 1024, text) if i + 1 < len(_UNITS) else out.otherwise(text)
     return out
 
@@ -148,7 +153,7 @@ def fmt_bytes_short(n) -> Column:
     b = col(n).cast("double")
     out = F.when(b < 1024, F.format_string("%d B", col(n).cast("long")))
     for i, unit in enumerate(_UNITS):
-        text = F.format_string("%.1f " + unit, b / float(1024 ** (i + 1)))
+        text = _fixed(b / float(1024 ** (i + 1)), 1, unit)
         out = out.when(b < float(1024 ** (i + 2)), text) if i + 1 < len(_UNITS) else out.otherwise(text)
     return out
 
