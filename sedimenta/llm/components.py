@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = path
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = edges.select("b").distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
         mark = now
         edges = _stars(_stars(edges, True), False)
