@@ -24,6 +24,7 @@ QUERY_BLOCK = 2048
 ROWS = 4096
 #: Sums of products below this are exact in double precision.
 _EXACT = 2**53
+_LONG = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -44,10 +45,10 @@ def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     most = int(np.abs(rows.astype(object)).max() if rows.min() == np.iinfo(np.int64).min else np.abs(rows).max()) * int(np.abs(queries).max()) * rows.shape[1]
     if most < _EXACT:
         return (rows.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
+    if most <= _LONG:
         return rows @ queries.T
     whole = rows.astype(object) @ queries.astype(object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(whole, -_LONG, _LONG).astype(np.int64)
 
 
 def _blocks(batches, wide, query_ids, queries):
@@ -131,7 +132,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         last = int(ids[-1])
         matrix = np.array(block["v"].tolist(), dtype=np.int64).reshape(len(ids), wide)
         # Cauchy and Schwarz bound every score; a little is added for rounding.
-        bound = np.minimum(np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)) * np.sqrt(norm) * (1 + 1e-9) + 2, 2.0**63 - 2**11).astype(np.int64)
+        bound = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1)) * np.sqrt(norm) * (1 + 1e-9) + 2
+        bound = np.where(bound < 2.0**62, np.minimum(bound, 2.0**62), 0).astype(np.int64) + np.where(bound < 2.0**62, 0, _LONG)
         held = spark.sparkContext.broadcast((ids, matrix))
         kth = _thresholds(rows, wide, held, bound, k)
         found.append(materialize(_best(rows, wide, held, kth, k), "topk-found"))
