@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.storage import ascii_lower, fresh_dir, located, materialize, small
+from sedimenta.llm.storage import ascii_lower, fresh_dir, located, materialize, plain, restored, small
 
 #: The state's store; without fallocate, as many small partitions would each reserve megabytes of disk.
 _STORE = {
@@ -107,7 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; cases as in :func:`exact_groups`."""
-    columns = docs.columns
-    docs = located(docs)
-    gone = materialize(exact_groups(docs.select(*columns), id_col, text_col).where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dedup-gone")
-    return docs.join(small(gone), ["__file", "__row"], "left_anti").select(*columns)
+    docs, names = plain(docs)
+    groups = exact_groups(docs := located(docs), names[id_col], names[text_col])
+    gone = materialize(groups.where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dedup-gone")
+    return restored(docs.join(small(gone), ["__file", "__row"], "left_anti"), names)

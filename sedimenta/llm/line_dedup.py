@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimenta.llm.storage import located, materialize, small
+from sedimenta.llm.storage import located, materialize, plain, small
 
 #: Bits of a position that number the line; the rest number the document.
 LINE_BITS = 26
@@ -112,16 +112,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names added are replaced; an empty table gives no rows. A text of more than
     2^26 lines is an error.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "removed", "spans")]
+    docs, names = plain(docs)
+    out = {c: n for c, n in names.items() if c not in ("n_lines", "removed", "spans")}
+    text = names[text_col]
     placed = located(docs)
-    spans = removed_spans(placed.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col("__file").alias("file"), F.col("__row").alias("row")), "__id", "__text", min_weight)
+    spans = removed_spans(placed.withColumnsRenamed({"__file": "file", "__row": "row"}), names[id_col], text, min_weight)
     spans = spans.select(F.col("file").alias("__file"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     joined = placed.join(small(spans), ["__file", "__row"], "left")
-    said = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    said = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     left = F.filter(said, lambda x, i: ~F.exists("__spans", lambda s: (i >= s["from"]) & (i <= s["to"])))
     removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"] + 1)
+    cleaned = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in names],
+        *[(cleaned if n == text else F.col(n)).alias(c) for c, n in out.items()],
         F.size(said).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0).cast("long")).alias("removed"),
         F.col("__spans").alias("spans"),

@@ -185,9 +185,8 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
     no rows.
     """
     spark = docs.sparkSession
-    placed = located(docs)
-    chunk = F.xxhash64("__file", F.floor(F.col("__row") / chunk_rows))
-    rows = placed.select(F.col(id_col).alias("id"), F.coalesce(F.expr(held) if held else F.lit(False), F.lit(False)).alias("held"), F.col(text_col).alias("text"), chunk.alias("chunk"))
+    placed = located(docs.select(F.col(id_col).alias("id"), F.coalesce(F.expr(held) if held else F.lit(False), F.lit(False)).alias("held"), F.col(text_col).alias("text")))
+    rows = placed.select("id", "held", "text", F.xxhash64("__file", F.floor(F.col("__row") / chunk_rows)).alias("chunk"))
     shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = materialize(_collected(rows, shards), "lm-blocks")
     model = spark.sparkContext.broadcast(_model(blocks, most_grams))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimenta.llm.storage import materialize
+from sedimenta.llm.storage import materialize, plain, restored
 
 #: Most sources that can be mixed: their totals and schedule are held by the driver.
 MAX_SOURCES = 1000
@@ -121,11 +121,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     return timed.select("id", placed["origin"], "size", "start", "block", slot.alias("slot"), *[F.col(a).alias(c) for c, a in own.items()])
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 18, **columns: str) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` in the order of the mixture, for writing: partitions and rows within them ascend by slot."""
-    kept = docs.columns
-    renamed = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)])
-    names = {k: f"__c{kept.index(v)}" for k, v in ({"id_col": "doc_id", "text_col": "text", "source_col": "source"} | columns).items()}
-    placed = mix(renamed, weights, block_bytes, carry=tuple(renamed.columns), **names)
-    ordered = placed.repartitionByRange("slot", "origin", "start").sortWithinPartitions("slot", "origin", "start")
-    return ordered.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)])
+    docs, names = plain(docs)
+    placed = mix(docs, weights, block_bytes, names[id_col], names[text_col], names[source_col], tuple(names.values()))
+    return restored(placed.repartitionByRange("slot", "origin", "start").sortWithinPartitions("slot", "origin", "start"), names)

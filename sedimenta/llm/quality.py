@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.storage import located, materialize, small
+from sedimenta.llm.storage import located, materialize, plain, restored, small
 
 #: Labelled rows the classifier is fitted on at most: those with the smallest hash of their id.
 LABELLED_ROWS = 20_000
@@ -160,10 +160,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(F.col("__id").alias("id"), F.col("__host").alias("host"), F.col("__path").alias("path"), "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") >= 0.5).alias("kept"), *carry)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns; cases as in :func:`judge`."""
-    names = docs.columns
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns; cases as in :func:`judge`. The labels' id has the name ``id_col``."""
+    docs, names = plain(docs)
     docs = located(docs)
-    judged = judge(docs, labels, carry=("__file", "__row"), **columns)
+    labels = labels.select(F.col(id_col).alias(names[id_col]), "quality")
+    judged = judge(docs, labels, names[id_col], names[text_col], names[host_col], names[path_col], ("__file", "__row"))
     gone = materialize(judged.where(~F.col("kept")).select("__file", "__row"), "quality-gone")
-    return docs.join(small(gone), ["__file", "__row"], "left_anti").select(*names)
+    return restored(docs.join(small(gone), ["__file", "__row"], "left_anti"), names)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.components import components
-from sedimenta.llm.storage import located, materialize, small
+from sedimenta.llm.storage import located, materialize, plain, restored, small
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -176,11 +176,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: of each group the row with the least id (of equal ids the first by place)."""
-    columns = docs.columns
+    docs, names = plain(docs)
     docs = located(docs)
-    groups = near_groups(docs, id_col, text_col, width, ("__file", "__row"))
+    groups = near_groups(docs, names[id_col], names[text_col], width, ("__file", "__row"))
     # The least id of a group is known; a repeated id leaves several rows, of which the first by place stays.
     lead = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("__file", "__row")).alias("p"))
     stays = lead.select(F.col("p.__file").alias("__file"), F.col("p.__row").alias("__row"))
     gone = materialize(groups.select("__file", "__row").join(stays, ["__file", "__row"], "left_anti"), "simhash-gone")
-    return docs.join(small(gone), ["__file", "__row"], "left_anti").select(*columns)
+    return restored(docs.join(small(gone), ["__file", "__row"], "left_anti"), names)

@@ -52,6 +52,20 @@ def located(docs: DataFrame, file_as: str = "__file", row_as: str = "__row") ->
         return docs.select("*", F.col("_metadata.file_path").alias(file_as), F.col("_metadata.row_index").alias(row_as))
 
 
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by number, so none can clash with a helper column, and the new name of each."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[quoted(c).alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already materialised) marked for broadcast if it is counted to be within ``rows``, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")
