@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: byte b travels as this code point plus b.
 BASE = 0x10FE00
@@ -33,7 +34,7 @@ def unescape(text: str) -> bytes:
     return b"".join(bytes([ord(c) - BASE]) if _FIRST <= c <= _LAST else c.encode() for c in text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _escape_udf(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else escape(bytes(b)))
 

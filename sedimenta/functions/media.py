@@ -17,6 +17,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bounds of the checks, and the least run of zeros that tells which side is damaged.
 INFLATE_MOST = 8 << 30
@@ -403,16 +404,16 @@ def captured(data: bytes | None, ext: str | None) -> str:
     return ""
 
 
-@F.pandas_udf("struct<state: string, why: string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("state", "why")]))
 def verify_content(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([verify_bytes(c) for c in content], columns=["state", "why"])
 
 
-@F.pandas_udf("struct<kind: string, side: string, first: long, bytes: long, bits: long>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "side")] + [T.StructField(n, T.LongType()) for n in ("first", "bytes", "bits")]))
 def compare_content(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([compare_bytes(x, y) for x, y in zip(a, b, strict=True)], columns=["kind", "side", "first", "bytes", "bits"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def captured_date(content: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([captured(c, e) for c, e in zip(content, ext, strict=True)])

@@ -7,6 +7,7 @@ import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sedimenta.functions.bytesafe import unescape
 from sedimenta.limits import PREFIX_BYTES
@@ -34,7 +35,7 @@ def digests_of(path: str, retry_s: float = 0.2) -> tuple[str | None, str | None,
 def with_digests(entries: DataFrame) -> DataFrame:
     """Entries with pfx, hash and read_error; files that cannot be read have null digests and their error."""
     names = entries.columns
-    schema = entries.schema.add("pfx", "string").add("hash", "string").add("read_error", "string")
+    schema = StructType([*entries.schema.fields, *[StructField(n, StringType()) for n in ("pfx", "hash", "read_error")]])
 
     def run(batches):
         for batch in batches:
