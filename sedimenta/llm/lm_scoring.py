@@ -67,7 +67,8 @@ class _Grams:
 
     def rows(self):
         self.fold()
-        shard = ((self.keys >> np.uint64(8)) & np.uint64(0xFF)) % np.uint64(_GRAM_SHARDS)
+        # By the context's last two bytes: grams whose shorter contexts add up lie together from order 2 on.
+        shard = (((self.keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(8)) % np.uint64(_GRAM_SHARDS)
         for s in np.unique(shard):
             own = shard == s
             yield ("gram", int(s), -1, self.keys[own].tobytes(), self.counts[own].tobytes())
@@ -141,7 +142,10 @@ def _add_words(blocks: pa.Table) -> pa.Table:
 
 
 def _add_grams(blocks: pa.Table) -> pa.Table:
-    """A shard's grams of each order with their counts and their contexts', and how many each threshold leaves."""
+    """A shard's grams of each order with their counts and their contexts', and how many each threshold leaves.
+
+    Orders 0 and 1 are parts that the driver adds up; they are few and always kept.
+    """
     keys = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in blocks["words"].to_pylist()])
     counts = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in blocks["counts"].to_pylist()])
     out = {"ord": [], "keys": [], "counts": [], "seen": [], "left": []}
@@ -150,7 +154,7 @@ def _add_grams(blocks: pa.Table) -> pa.Table:
         out["keys"].append(k.tobytes())
         out["counts"].append(c.tobytes())
         out["seen"].append(n.tobytes())
-        out["left"].append([int((n >= 1 << t).sum()) for t in range(62)])
+        out["left"].append([int((n >= 1 << t).sum()) if j > 1 else 0 for t in range(62)])
     return pa.table(out, schema=pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.binary()), ("left", pa.list_(pa.int64()))]))
 
 
@@ -162,14 +166,16 @@ def _model(blocks: DataFrame, most: int) -> ppm.Model:
     def keep(batches):
         for batch in batches:
             for j, k, c, n in zip(*(batch.column(x) for x in ("ord", "keys", "counts", "seen")), strict=True):
-                own = np.frombuffer(n.as_py(), dtype=np.int64) >= (least if j.as_py() else 0)
+                own = np.frombuffer(n.as_py(), dtype=np.int64) >= (least if j.as_py() > 1 else 0)
                 yield pa.RecordBatch.from_pylist([{"ord": j.as_py(), "keys": np.frombuffer(k.as_py(), dtype=np.uint64)[own].tobytes(), "counts": np.frombuffer(c.as_py(), dtype=np.int64)[own].tobytes()}], schema=pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     tables = [([np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]) for _ in range(ppm.ORDER + 1)]
     for r in shards.mapInArrow(keep, "ord int, keys binary, counts binary").toLocalIterator():
         tables[r["ord"]][0].append(np.frombuffer(r["keys"], dtype=np.uint64))
         tables[r["ord"]][1].append(np.frombuffer(r["counts"], dtype=np.int64))
-    return ppm.Model([ppm.summed(np.concatenate(k), np.concatenate(c)) for k, c in tables])
+    summed = [ppm.summed(np.concatenate(k), np.concatenate(c)) for k, c in tables]
+    summed[0] = ppm.summed(ppm.shortened(summed[1][0], 0))  # a gram of order 1 may be in several shards
+    return ppm.Model(summed)
 
 
 def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_grams: int = ppm.MAX_GRAMS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
