@@ -23,15 +23,18 @@ END_ID = 1
 _FAST_BELOW = 0xCA
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    exact = tokenizers.Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    ranks_file = path.removesuffix(".json") + ".tiktoken"
-    with open(ranks_file, "rb") as lines:
+@lru_cache(maxsize=2)
+def exact_tokenizer(path: str) -> tokenizers.Tokenizer:
+    found = tokenizers.Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+@lru_cache(maxsize=2)
+def fast_tokenizer(path: str) -> tiktoken.Encoding:
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, path: str) -> np.ndarray:
@@ -39,13 +42,12 @@ def encode(text: str, path: str) -> np.ndarray:
 
     The rank file beside the tokenizer holds the same vocabulary and is four
     times as fast; texts with characters from U+0280 on go to the tokenizer
-    itself, whose Unicode tables may differ.
+    itself, whose Unicode tables may differ. Either is loaded when it is needed.
     """
-    exact, fast = _tokenizer(path)
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     if not len(raw) or raw.max() < _FAST_BELOW:
-        return fast.encode_to_numpy(text, disallowed_special=())
-    return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return fast_tokenizer(path).encode_to_numpy(text, disallowed_special=())
+    return np.array(exact_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
