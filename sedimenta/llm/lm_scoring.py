@@ -16,6 +16,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ from sedimenta.llm.storage import located, materialize
 #: Documents of a file that ask for word counts together.
 CHUNK_ROWS = 2048
 #: Different grams that a task holds before it passes them on.
-TASK_GRAMS = 4_000_000
+TASK_GRAMS = 2_000_000
 #: Bytes of text taken at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _GRAM_SHARDS = 64
 _SCHEMA = "kind string, shard int, chunk long, words binary, counts binary"
 _NAMES = ["kind", "shard", "chunk", "words", "counts"]
@@ -65,13 +66,18 @@ class _Grams:
         self.keys, self.counts = ppm.summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         self.loose = []
 
-    def rows(self):
+    def merge(self, keys: bytes, counts: bytes) -> None:
+        self.loose.append((np.frombuffer(keys, dtype=np.uint64), np.frombuffer(counts, dtype=np.int64)))
+        if sum(len(k) for k, _ in self.loose) > TASK_GRAMS:
+            self.fold()
+
+    def rows(self, salt: int):
+        """Blocks by the context's last two bytes: grams whose shorter contexts add up lie together from order 2 on."""
         self.fold()
-        # By the context's last two bytes: grams whose shorter contexts add up lie together from order 2 on.
         shard = (((self.keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(8)) % np.uint64(_GRAM_SHARDS)
         for s in np.unique(shard):
             own = shard == s
-            yield ("gram", int(s), -1, self.keys[own].tobytes(), self.counts[own].tobytes())
+            yield ("gram", int(s), salt, self.keys[own].tobytes(), self.counts[own].tobytes())
         self.keys, self.counts = self.keys[:0], self.counts[:0]
 
 
@@ -96,7 +102,7 @@ def _collected(docs: DataFrame, shards: int) -> DataFrame:
     """Gram and word blocks of ``docs(chunk, held, text)``."""
 
     def run(batches):
-        grams, now, seen = _Grams(), None, Counter()
+        grams, now, seen, salt = _Grams(), None, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for part in _slices(batch):
                 texts, held, chunks = _texts(part.column("text")), part.column("held").to_pylist(), part.column("chunk").to_pylist()
@@ -114,10 +120,10 @@ def _collected(docs: DataFrame, shards: int) -> DataFrame:
                 if train:
                     grams.add(train)
                 if len(grams.keys) > TASK_GRAMS:
-                    yield _batch(grams.rows())
+                    yield _batch(grams.rows(salt))
         if seen:
             yield _batch(_word_rows(now, seen, shards))
-        if rows := list(grams.rows()):
+        if rows := list(grams.rows(salt)):
             yield _batch(rows)
 
     return docs.select("chunk", "held", "text").mapInArrow(run, _SCHEMA)
@@ -141,25 +147,45 @@ def _add_words(blocks: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(values, type=kind) for name, values, kind in kinds})
 
 
-def _add_grams(blocks: pa.Table) -> pa.Table:
+def _added(batches):
+    """A task's gram blocks added up by shard; what is held is the different grams, not the blocks."""
+    held: dict[int, _Grams] = {}
+    for batch in batches:
+        for shard, keys, counts in zip(batch.column("shard").to_pylist(), batch.column("words"), batch.column("counts"), strict=True):
+            held.setdefault(shard, _Grams()).merge(keys.as_py(), counts.as_py())
+    for shard in sorted(held):
+        own = held.pop(shard)
+        own.fold()
+        yield shard, own.keys, own.counts
+
+
+def _add_some(batches):
+    for shard, keys, counts in _added(batches):
+        yield _batch([("gram", shard, 0, keys.tobytes(), counts.tobytes())])
+
+
+def _add_all(batches):
     """A shard's grams of each order with their counts and their contexts', and how many each threshold leaves.
 
     Orders 0 and 1 are parts that the driver adds up; they are few and always kept.
     """
-    keys = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in blocks["words"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in blocks["counts"].to_pylist()])
-    out = {"ord": [], "keys": [], "counts": [], "seen": [], "left": []}
-    for j, (k, c, n) in enumerate(ppm.by_order(*ppm.summed(keys, counts))):
-        out["ord"].append(j)
-        out["keys"].append(k.tobytes())
-        out["counts"].append(c.tobytes())
-        out["seen"].append(n.tobytes())
-        out["left"].append([int((n >= 1 << t).sum()) if j > 1 else 0 for t in range(62)])
-    return pa.table(out, schema=pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.binary()), ("left", pa.list_(pa.int64()))]))
+    schema = pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.binary()), ("left", pa.list_(pa.int64()))])
+    for _, keys, counts in _added(batches):
+        out = []
+        for j, (k, c, n) in enumerate(ppm.by_order(keys, counts)):
+            left = [int((n >= 1 << t).sum()) if j > 1 else 0 for t in range(62)]
+            out.append({"ord": j, "keys": k.tobytes(), "counts": c.tobytes(), "seen": n.tobytes(), "left": left})
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def _model(blocks: DataFrame, most: int) -> ppm.Model:
-    shards = materialize(blocks.where("kind = 'gram'").groupBy("shard").applyInArrow(_add_grams, "ord int, keys binary, counts binary, seen binary, left array<long>"), "lm-grams")
+    """The model of all gram blocks. With many partitions shards are added up in two steps, the first also by where a block comes from."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = blocks.where("kind = 'gram'")
+    if parts >= 4 * _GRAM_SHARDS:
+        own = own.repartition(parts, "shard", F.col("chunk") % (parts // _GRAM_SHARDS)).mapInArrow(_add_some, _SCHEMA)
+    added = own.repartition(_GRAM_SHARDS, "shard").mapInArrow(_add_all, "ord int, keys binary, counts binary, seen binary, left array<long>")
+    shards = materialize(added, "lm-grams")
     left = np.array([r["left"] for r in shards.groupBy("ord").agg(F.array(*[F.sum(F.col("left")[t]) for t in range(62)]).alias("left")).collect()], dtype=np.int64).reshape(-1, 62).sum(axis=0)
     least = 1 << int(np.argmax(left <= most)) if len(left) else 1
 

@@ -55,7 +55,7 @@ def test_encode_is_the_tokenizer(text):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert packing.encode(text, path).tolist() == packing._tokenizer(path)[0].encode(text, add_special_tokens=False).ids
+    assert packing.encode(text, path).tolist() == packing.exact_tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)
@@ -208,6 +208,17 @@ def test_lm_score(spark):
     assert next(r["score"] for r in alone if r["id"] == 1) == pytest.approx(-31 * np.log10(256))
 
 
+def test_lm_score_with_many_partitions(spark):
+    rows = awkward() + [(100 + i, f"common words number {i % 7} again and again", "en", "a", 1) for i in range(60)]
+    scores, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("4", "256"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = lm_scoring.score(docs(spark, rows).repartition(3), "doc_id % 2 = 0", chunk_rows=5)
+        scores.append(sorted((str(r["id"]), round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1]
+
+
 def test_pruned_model_is_still_whole():
     train = [b"the cat sat on the mat", b"a dog sat on a log"] * 3 + [b"rare words once"]
     keys, counts = ppm.summed(ppm.grams(ppm.joined(train)[0])[1])
