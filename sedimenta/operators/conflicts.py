@@ -130,7 +130,7 @@ def _judge(group: pd.DataFrame) -> pd.DataFrame:
     for i in readable:
         if verdict[i] is None:
             verdict[i] = "intact" if corrupt and proven[i] else "unknown"
-    return pd.DataFrame({"rank": group["rank"], "path": group["path"], "verdict": verdict, "evidence": evidence})
+    return pd.DataFrame({"rank": group["rank"].tolist(), "path": group["path"].tolist(), "verdict": verdict, "evidence": evidence}).astype(dict.fromkeys(("path", "verdict", "evidence"), object))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:

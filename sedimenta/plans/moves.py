@@ -189,6 +189,6 @@ def replay(journal: DataFrame) -> DataFrame:
                 state[path] = "gone"
             elif tag == "failed":
                 state.pop(path, None)
-        return pd.DataFrame({"batch": [lines["batch"].iloc[0]] * len(state), "path": list(state), "outcome": list(state.values())})
+        return pd.DataFrame({"batch": [lines["batch"].iloc[0]] * len(state), "path": list(state), "outcome": list(state.values())}, dtype=object)
 
     return journal.select("batch", "seq", "tag", "path").groupBy("batch").applyInPandas(fold, "batch string, path string, outcome string")

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars as S
+from sedimenta.functions.bytesafe import display_name
+from sedimenta.functions.media import captured_date, compare_content, verify_content
 from sedimenta.limits import CATEGORIES, JUNK_NAMES, JUNK_PREFIXES, JUNK_SUFFIXES, LIMITS, VERDICT_WORDS
 from sedimenta.operators import conflicts, duplicates, empty_dirs, flat, history, ranking, results
 from sedimenta.operators.duplicates import Match
 from sedimenta.operators.results import PageRequest, Query
 from sedimenta.plans import moves
 from sedimenta.sources.entries import corpus_entries, corpus_folders
+from sedimenta.sources.filesystem import walk
 from sedimenta.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -729,12 +732,84 @@ _table_groups("dup_pages", "pages", "page_id", "html")
 _table_groups("dup_turns", "conversations", "conv_id", "text")
 
 
-@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY ALL")
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
-    return ingest.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return ingest.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("total", F.round("total", 4))
 
 
 @query("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s GROUP BY user_id, n""")
 def event_sessions(spark, sf_dir):
     return ingest.event_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+# ---- content: differences, verdicts, containers, names, journals, streams ----
+
+#: Documents and a damaged copy: the last half zeroed, or (every third document) one bit flipped.
+COPIES = """d AS (SELECT doc_id, encode(text) AS a, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) >= 2048)"""
+
+
+def _copies(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) >= 2048")
+    a = F.col("text").cast("binary")
+    half = F.expr("cast(octet_length(text) div 2 as int)")
+    zeroed = F.concat(F.substring(a, F.lit(1), half), F.unhex(F.repeat(F.lit("00"), F.octet_length("text") - half)))
+    flipped = F.concat(F.unhex(F.lpad(F.hex(F.ascii("text").bitwiseXOR(1)), 2, "0")), F.substring(a, F.lit(2), F.octet_length("text")))
+    plain = F.ascii("text") < 128
+    return docs.where(plain).select("doc_id", a.alias("a"), F.when(F.col("doc_id") % 3 == 0, flipped).otherwise(zeroed).alias("b"))
+
+
+@query("diff_shape", "WITH " + COPIES + " SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bitflip' ELSE 'tail' END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'b' END AS side, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n // 2 END AS first, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n - n // 2 END AS bytes FROM d WHERE ascii(decode(a)) < 128")
+def diff_shape(spark, sf_dir):
+    shape = compare_content("a", "b")
+    return _copies(spark, sf_dir).select("doc_id", shape.alias("s")).select("doc_id", "s.kind", "s.side", "s.first", "s.bytes")
+
+
+@query(
+    "verdicts",
+    "WITH " + COPIES + """ SELECT doc_id AS rank, unnest(['/original', '/copy']) AS path, unnest(['unknown', CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'corrupt' END]) AS verdict,
+    unnest(['Undetermined', CASE WHEN doc_id % 3 = 0 THEN 'Undetermined' ELSE 'Corrupted' END]) AS label FROM d WHERE ascii(decode(a)) < 128""",
+)
+def verdicts(spark, sf_dir):
+    pairs = _copies(spark, sf_dir)
+    rows = pairs.select(F.col("doc_id").alias("rank"), F.explode(F.array(F.struct(F.lit("/original").alias("path"), F.col("a").alias("content")), F.struct(F.lit("/copy").alias("path"), F.col("b").alias("content")))).alias("m")).select("rank", "m.*")
+    known = rows.withColumns({"hash": F.sha2("content", 256), "read_error": F.lit(""), "prior_hash": F.lit("")})
+    return conflicts.verdicts(known).select("rank", "path", "verdict", "label")
+
+
+@query("media_verify", "SELECT doc_id, 'unproven' AS state FROM documents")
+def media_verify(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", verify_content(F.col("text").cast("binary"))["state"].alias("state"))
+
+
+@query("media_captured", "SELECT page_id, '' AS captured FROM pages")
+def media_captured(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", captured_date(F.col("html").cast("binary"), F.lit("JPG")).alias("captured"))
+
+
+@query("fn_display_name", ENT + " SELECT path, name AS display FROM ent")
+def fn_display_name(spark, sf_dir):
+    return corpus_entries(spark, sf_dir).select("path", display_name(F.col("name").cast("binary")).alias("display"))
+
+
+@query("journal_replay", ENT + " SELECT source AS batch, path, CASE doc_id % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'gone' ELSE 'unsettled' END AS outcome FROM ent WHERE doc_id % 4 <> 3")
+def journal_replay(spark, sf_dir):
+    ent = corpus_entries(spark, sf_dir)
+    begun = ent.select(F.col("source").alias("batch"), (F.col("doc_id") * 2).alias("seq"), F.lit("begin").alias("tag"), "path")
+    tag = F.element_at(F.array(*[F.lit(t) for t in ("done", "gone", "begin", "failed")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    ended = ent.select(F.col("source").alias("batch"), (F.col("doc_id") * 2 + 1).alias("seq"), tag.alias("tag"), "path")
+    return moves.replay(begun.unionByName(ended))
+
+
+@query("history_stream", HIST + " SELECT path, hash AS prior_hash, hash2 AS hash, 2::BIGINT AS gen FROM g2 WHERE hash <> hash2 AND mod_unix = mod2")
+def history_stream(spark, sf_dir):
+    first, second = _generations(spark, sf_dir)
+    return ingest.changed_in((first, second.withColumn("gen", F.lit(2))), history.COLUMNS)
+
+
+@query("walk_tree")
+def walk_tree(spark, sf_dir):
+    """Rows only: what lies in the folder of the tables."""
+    return walk(spark, [sf_dir]).select("rel", "size", "is_dir", "nlink", "unreadable")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 STATE = "size long, mod_unix long, pfx string, hash string, gen long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVIDENCE = "path string, prior_hash string, hash string, gen long"
 
 
@@ -27,7 +30,7 @@ class PathHistory(StatefulProcessor):
                 if past is not None and past[4] < r.gen and (past[0], past[1]) == (r.size, r.mod_unix) and (past[2], past[3]) != (r.pfx, r.hash):
                     found.append((key[0], past[3], r.hash, r.gen))
                 self.last.update((int(r.size), int(r.mod_unix), r.pfx, r.hash, int(r.gen)))
-        yield pd.DataFrame(found, columns=["path", "prior_hash", "hash", "gen"])
+        yield pd.DataFrame(found, columns=["path", "prior_hash", "hash", "gen"], dtype=object).astype({"gen": "int64"})
 
     def close(self) -> None:
         pass
@@ -38,6 +41,26 @@ def changed_stream(entries: DataFrame) -> DataFrame:
     return entries.groupBy("path").transformWithStateInPandas(statefulProcessor=PathHistory(), outputStructType=EVIDENCE, outputMode="append", timeMode="none")
 
 
+def changed_in(generations: tuple[DataFrame, ...], columns: list[str]) -> DataFrame:
+    """Evidence from generations that arrive one after the other, each as a batch of a stream that goes on."""
+    spark = generations[0].sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedimenta-")
+    root = f"{root.rstrip('/')}/sedimenta/history-{uuid.uuid4().hex[:12]}"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        for rows in generations:
+            narrow = rows.select(*columns).withColumn("gen", F.col("gen").cast("long"))
+            narrow.write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(narrow.schema).parquet(f"{root}/in")
+            out = changed_stream(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(EVIDENCE).parquet(f"{root}/out")
+
+
 def publish(entries: DataFrame, tools: dict[str, Callable[[DataFrame], DataFrame]], root: str, checkpoint: str) -> StreamingQuery:
     """Start a stream that writes each tool's result of a batch as soon as it is there."""
 
