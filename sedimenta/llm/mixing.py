@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from math import lcm
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from sedimenta.llm.storage import materialize, plain, restored
 
 #: Most sources that can be mixed: their totals and schedule are held by the driver.
 MAX_SOURCES = 1000
+#: Slots of a period at most, but for rounding: what the driver schedules and a source's row of the table holds.
+MOST_SHARES = 10_000
 #: Rows of a source that one task orders at a time, on average.
 BUCKET_ROWS = 2048
 _NULL = "\0null"
@@ -70,10 +72,18 @@ def phases(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, in
 
 
 def whole_shares(weights: dict[str, float]) -> dict[str, int]:
-    """Weights as whole shares: exact for integers, else fractions with a denominator of at most 1,000."""
-    parts = {s: max(Fraction(w).limit_denominator(1000), Fraction(1, 1000)) for s, w in weights.items()}
+    """Weights as whole shares: exact if these add up to ``MOST_SHARES`` at most, else rounded to as many in all, each at least one."""
+    parts = {s: Fraction(w).limit_denominator(1000) for s, w in weights.items()}
+    if min(parts.values()) <= 0:
+        raise ValueError("weights must be at least 0.001")
     scale = lcm(*(p.denominator for p in parts.values()))
-    return {s: int(p * scale) for s, p in parts.items()}
+    whole = {s: int(p * scale) for s, p in parts.items()}
+    shared = gcd(*whole.values())
+    whole = {s: c // shared for s, c in whole.items()}
+    total = sum(whole.values())
+    if total <= MOST_SHARES:
+        return whole
+    return {s: max(1, round(c * MOST_SHARES / total)) for s, c in whole.items()}
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -133,6 +133,11 @@ def test_mix(spark):
 
 def test_weights_become_shares():
     assert mixing.whole_shares({"a": 0.5, "b": 0.25, "c": 1}) == {"a": 2, "b": 1, "c": 4}
+    assert mixing.whole_shares({"a": 20, "b": 10}) == {"a": 2, "b": 1}
+    many = mixing.whole_shares({f"s{i}": 1 / (7 + i) for i in range(60)})
+    assert min(many.values()) >= 1 and abs(sum(many.values()) - mixing.MOST_SHARES) < 100
+    with pytest.raises(ValueError, match="weights"):
+        mixing.whole_shares({"a": 0, "b": 1})
 
 
 def brute_ppm(train, order):
