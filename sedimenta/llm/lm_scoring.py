@@ -26,7 +26,7 @@ from sedimenta.llm.storage import located, materialize
 #: Documents of a file that ask for word counts together.
 CHUNK_ROWS = 2048
 #: Different grams that a task holds before it passes them on.
-TASK_GRAMS = 2_000_000
+TASK_GRAMS = 1_000_000
 #: Bytes of text taken at once.
 SLICE_BYTES = 1 << 20
 _GRAM_SHARDS = 64

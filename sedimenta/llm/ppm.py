@@ -104,6 +104,10 @@ class Model:
             self.escape_left.append(np.where(rest_q > 0, np.log10(np.maximum(rest_q, 1) / np.maximum(2 * rest_n, 1)), 0.0))
             sizes = n, q, context
         self._hash()
+        # The longest grams are in the hash table, and what is not there is asked of shorter ones.
+        self.keys[ORDER], self.log_count[ORDER] = self.keys[ORDER][:0], self.log_count[ORDER][:0]
+        for table in (self.log_count, self.start, self.escape, self.left, self.escape_left):
+            table[:] = [x.astype(np.float32) for x in table]
 
     def _hash(self) -> None:
         """A table of the longest grams with their log probabilities, by linear probing."""
