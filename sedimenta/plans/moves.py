@@ -142,6 +142,12 @@ def moved_copies(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return j.withColumn("out", in_batch_layout("path") | F.col("__p").isNotNull() | by_data).drop("__key", "__p", "__f", "__d")
 
 
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows that a mark record (path, size, mtime) names as they are now."""
+    keys = marks.select("path", "size", F.col("mtime").alias("mod_unix")).distinct()
+    return rows.join(keys, ["path", "size", "mod_unix"], "left_semi")
+
+
 def landed_keys(moves: DataFrame) -> DataFrame:
     """kind, key of what moves leave behind: the place it came to, its data there, and the place it came from."""
     to = moves.select(F.lit("path").alias("kind"), F.col("to_path").alias("key"))

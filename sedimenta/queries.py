@@ -475,6 +475,20 @@ def conflict_representatives(spark, sf_dir):
     return rest.select("rank", "path_a", "path_b")
 
 
+@query(
+    "conflict_flagged",
+    ENT + """, g AS (SELECT *, doc_id % 101 = 0 AND doc_id % 103 <> 0 AND size > 0 AS changed FROM ent),
+    fam AS (SELECT size, mod_unix, count(*) AS members, count(DISTINCT hash) AS variants, max(changed) AS flagged, min(lower(name)) = max(lower(name)) AS same_name, min(path) AS first_path
+        FROM g WHERE size > 0 GROUP BY size, mod_unix HAVING count(DISTINCT hash) > 1)
+    SELECT row_number() OVER (ORDER BY CASE WHEN flagged THEN 2 WHEN same_name THEN 1 ELSE 0 END DESC, size DESC, first_path, mod_unix) AS rank, flagged, members, first_path FROM fam""",
+)
+def conflict_flagged(spark, sf_dir):
+    first, second = _generations(spark, sf_dir)
+    evidence = history.changed(second.withColumn("gen", F.lit(2)), first, 2).select("path", F.lit(True).alias("changed"))
+    ent = corpus_entries(spark, sf_dir).join(evidence, "path", "left").withColumn("changed", F.coalesce("changed", F.lit(False)) & (F.col("size") > 0))
+    return conflicts.ordered(conflicts.sets(ent)).select("rank", "flagged", "members", "first_path")
+
+
 # ---- empty folders ----
 
 
@@ -581,6 +595,22 @@ def moved_copies(spark, sf_dir):
     return moves.moved_copies(ent, keys.unionByName(froms).unionByName(folder)).select("path", "out")
 
 
+@query("moved_marks", ENT + " SELECT path FROM ent WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
+def moved_marks(spark, sf_dir):
+    ent = corpus_entries(spark, sf_dir)
+    marks = ent.where("doc_id % 3 = 0").select("path", (F.col("size") + F.col("doc_id") % 2).alias("size"), F.col("mod_unix").alias("mtime"))
+    return moves.marked(ent, marks).select("path")
+
+
+@query("plan_identity_strength", MEM + " SELECT path, CASE WHEN doc_id % 2 = 0 THEN hash END AS hash, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN substr(hash, 1, 32) END AS pfx FROM mem")
+def plan_identity_strength(spark, sf_dir):
+    rows = _members(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    weak = rows.withColumns({"hash": none, "pfx": none, "rank": F.lit(0).cast("long")})
+    prefix = rows.where("doc_id % 3 = 0").withColumns({"hash": none, "rank": F.lit(1).cast("long")})
+    return moves.strongest_identity(weak.unionByName(prefix).unionByName(rows.where("doc_id % 2 = 0"))).select("path", "hash", "pfx")
+
+
 @query("plan_allowlist", MEM + ", r AS (SELECT path FROM ent WHERE doc_id % 4 = 0) SELECT path, path IN (SELECT path FROM mem) AS listed FROM r")
 def plan_allowlist(spark, sf_dir):
     return moves.allow_list(corpus_entries(spark, sf_dir).where("doc_id % 4 = 0"), _members(spark, sf_dir))
