@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, directly or not, the one with the least id stays."""
+    """Of documents linked, directly or not, by fingerprints or by similar texts the one with the least id stays."""
     return drop_near_duplicates(docs)
 
 

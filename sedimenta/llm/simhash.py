@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sedimenta.llm.components import components
 from sedimenta.llm.storage import located, materialize, plain, restored, small
@@ -32,8 +33,8 @@ MAX_BITS = 3
 _LANES = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the ``width``-word shingles of a text, repeats counted; zero without words.
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, repeats: bool = True) -> int:
+    """SimHash of the ``width``-word shingles of a text, repeats counted unless told otherwise; zero without words.
 
     Words are runs of anything but the bytes 9-13 and 32; A-Z are lower-cased.
     With fewer than ``width`` words the whole sequence is the only shingle.
@@ -43,7 +44,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     tails = [words[i:] for i in range(min(width, len(words)))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(s), seed) for s in zip(*tails, strict=False)), dtype="<u8")
+    shingles = (b" ".join(s) for s in zip(*tails, strict=False))
+    hashes = np.fromiter((digest(s, seed) for s in (shingles if repeats else set(shingles))), dtype="<u8")
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -157,7 +159,7 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``docs``: id, fp, component_id and the columns of ``carry``.
+    """One row for each row of ``docs``: id, fp, root (a fingerprint that names the group), component_id and the columns of ``carry``.
 
     Rows link if their fingerprints differ in at most three bits, equal ones
     included; component_id is the least id reachable. Null and empty texts
@@ -170,17 +172,130 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = components(near_links(unique))
     grouped = unique.join(linked.hint("shuffle_merge"), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     roots = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(grouped.join(roots, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named.hint("shuffle_merge"), "fp").select(F.col("__id").alias("id"), "fp", "component_id", *carry)
+    named = materialize(grouped.join(roots, "root").select("fp", "root", "component_id"), "simhash-named")
+    return prints.join(named.hint("shuffle_merge"), "fp").select(F.col("__id").alias("id"), "fp", "root", "component_id", *carry)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each group the row with the least id (of equal ids the first by place)."""
+#: Words of a shingle and least similarity of near-duplicate texts.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: Fingerprints of texts that similar nearly always differ in no more bits: those of the different words, those of shingles.
+CANDIDATE_BITS = {"words": 12, "fp": 16}
+
+
+def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted 32-bit hashes of a text's different shingles; words and short texts as in :func:`fingerprint`."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint32)
+    tails = [words[i:] for i in range(min(width, len(words)))]
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in zip(*tails, strict=False)), dtype=np.uint32))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones, one."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
+
+
+def _neighbours(nodes: DataFrame, column: str) -> DataFrame:
+    """(a, b), a > b: nodes(node, ``column``) that stand side by side under a key of their fingerprints and differ in few bits.
+
+    All that a key gathers is put in order and each compared with the next, so
+    a key that very many texts share gives as many pairs as it has texts.
+    """
+
+    def run(batches):
+        for batch in batches:
+            node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", column))
+            for at in range(0, len(fp), 4096):
+                part = fp[at : at + 4096]
+                where, key = lookup_keys(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[where]), pa.array(node[at : at + 4096][where])], names=["key", "print", "node"])
+
+    keyed = nodes.select("node", column).mapInArrow(run, "key int, print long, node long")
+    order = W.partitionBy("key").orderBy("print", "node")
+    beside = keyed.select("node", F.lag("node").over(order).alias("other"), F.bit_count(F.col("print").bitwiseXOR(F.lag("print").over(order))).alias("differ"))
+    near = beside.where((F.col("other") != F.col("node")) & (F.col("differ") <= CANDIDATE_BITS[column]))
+    return near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(node, shingles)`` are at least that similar."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
+            good = [similarity(np.frombuffer(p.as_py(), dtype=np.uint32), np.frombuffer(q.as_py(), dtype=np.uint32)) >= least for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
+
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("shuffle_merge"), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("shuffle_merge"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """(root, component_id, __id, __file, __row) for each row of :func:`located` ``docs``, linked as in :func:`near_groups` or by similar texts.
+
+    Texts are similar if their sets of five-word shingles are; candidates come
+    from that fingerprint and a second one, of the different words, which a few
+    changed words move less, under the same Golay keys, and are verified on the
+    whole sets.
+    """
+
+    def prints(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("__text")]
+            two = [np.array([fingerprint(t, w, repeats=r) for t in texts], dtype=np.uint64).view(np.int64) for w, r in ((width, True), (1, False))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__id", "__file", "__row")] + [pa.array(x) for x in two], names=["__id", "__file", "__row", "fp", "words"])
+
+    def shingled(batches):
+        for batch in batches:
+            blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, type=pa.binary())], names=["node", "shingles"])
+
+    chosen = docs.select(F.col(id_col).alias("__id"), "__file", "__row", F.col(text_col).alias("__text"))
+    kind = chosen.schema["__id"].dataType.simpleString()
+    seen = materialize(chosen.mapInArrow(prints, f"__id {kind}, __file string, __row long, fp long, words long"), "simhash-prints")
+    places = seen.groupBy("fp", "words").agg(F.min(F.struct("__file", "__row")).alias("p"))
+    nodes = materialize(places.select("fp", "words", "p.__file", "p.__row", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
+
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "simhash-heads")
+    close = near_links(heads)
+    named = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")).hint("shuffle_merge")
+    other = heads.select(F.col("fp").alias("b"), F.col("head").alias("y")).hint("shuffle_merge")
+    by_bits = close.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.join(heads.hint("shuffle_merge"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+    pairs = materialize(_neighbours(nodes, "words").unionByName(_neighbours(nodes, "fp")).distinct(), "simhash-pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.join(asked, "node").select("node", "__file", "__row"), "simhash-wanted")
+    texts = docs.select("__file", "__row", F.col(text_col).alias("text")).join(small(wanted), ["__file", "__row"])
+    sets = materialize(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "simhash-sets")
+    links = materialize(by_bits.unionByName(same).unionByName(_similar(pairs, sets, least)), "simhash-links")
+
+    linked = components(links).hint("shuffle_merge")
+    roots = materialize(nodes.join(linked, "node", "left").select("fp", "words", F.coalesce("component", "node").alias("root")), "simhash-roots")
+    rows = materialize(seen.join(roots.hint("shuffle_merge"), ["fp", "words"]).select("__id", "__file", "__row", "root"), "simhash-rows")
+    leads = rows.groupBy("root").agg(F.min("__id").alias("component_id"))
+    return rows.join(leads, "root").select("root", "component_id", "__id", "__file", "__row")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: float | None = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each group the row with the least id (of equal ids the first by place).
+
+    Groups are those of :func:`near_groups`, joined where texts are at least
+    ``least`` similar by five-word shingles (None: not at all).
+    """
     docs, names = plain(docs)
     docs = located(docs)
-    groups = near_groups(docs, names[id_col], names[text_col], width, ("__file", "__row"))
+    if least is None:
+        groups = near_groups(docs, names[id_col], names[text_col], width, ("__file", "__row")).withColumnRenamed("id", "__id")
+    else:
+        groups = similar_groups(docs, names[id_col], names[text_col], width, least)
     # The least id of a group is known; a repeated id leaves several rows, of which the first by place stays.
-    lead = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("__file", "__row")).alias("p"))
+    lead = groups.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__file", "__row")).alias("p"))
     stays = lead.select(F.col("p.__file").alias("__file"), F.col("p.__row").alias("__row"))
     gone = materialize(groups.select("__file", "__row").join(stays, ["__file", "__row"], "left_anti"), "simhash-gone")
     return restored(docs.join(small(gone), ["__file", "__row"], "left_anti"), names)

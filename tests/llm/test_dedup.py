@@ -77,7 +77,18 @@ def brute_fingerprint(text, width=3):
     return out
 
 
-def components(prints, ids):
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    """Five-word shingles at least 0.8 similar."""
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def components(prints, ids, texts=None):
+    sets = [brute_set(t) for t in texts] if texts else None
     parent = list(range(len(prints)))
 
     def find(x):
@@ -87,7 +98,7 @@ def components(prints, ids):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or sets and alike(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     least = {}
     for i, own in enumerate(ids):
@@ -138,13 +149,36 @@ def test_near_groups(spark, clashes):
     prints = [brute_fingerprint(r[1]) for r in rows]
     want = components(prints, [r[0] for r in rows])
     assert Counter((r["id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got) == Counter(zip([r[0] for r in rows], prints, want, strict=True))
-    kept = simhash.drop_near_duplicates(docs(spark, rows, clashes))
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(set(want)) and len(kept.columns) == len(docs(spark, rows, clashes).columns)
+    for least in (None, 0.8):
+        kept = simhash.drop_near_duplicates(docs(spark, rows, clashes), least=least)
+        want = components(prints, [r[0] for r in rows], [r[1] for r in rows] if least else None)
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(set(want)) and len(kept.columns) == len(docs(spark, rows, clashes).columns)
+
+
+def test_similar_texts_are_found_and_others_are_not(spark):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(800)]
+    rows, base = [], 0
+    for base in range(80):
+        words = rng.choices(vocabulary, k=150)
+        for copy in range(3):
+            own = list(words)
+            for at in rng.sample(range(150), copy * rng.choice((1, 1, 8))):
+                own[at] = rng.choice(vocabulary)
+            rows.append((10 * base + copy, " ".join(own), "en", "a", 1))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    want = components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows], [r[1] for r in rows])
+    missed = kept - set(want)
+    assert set(want) <= kept and len(missed) <= 0.1 * (len(rows) - len(set(want))) and len(set(want)) > 80
 
 
 def test_near_empty_table(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
+    no_ids = docs(spark, [(None, "one text", None, None, None), (None, "quite another text", None, None, None)])
+    assert simhash.drop_near_duplicates(no_ids).count() == 2 == simhash.drop_near_duplicates(no_ids, least=None).count()
 
 
 def brute_lines(rows, min_weight):

@@ -55,7 +55,8 @@ def test_pipeline(spark):
             assert set(rows) == {max(ids) for ids in by.values()}
         if name == "near":
             ids = sorted(before)
-            assert set(rows) == set(components([brute_fingerprint(before[i]["text"]) for i in ids], ids))
+            texts = [before[i]["text"] for i in ids]
+            assert set(rows) == set(components([brute_fingerprint(t) for t in texts], ids, texts))
         if name == "mixture":
             assert set(rows) == set(before)
         docs = spark.read.parquet(path)
