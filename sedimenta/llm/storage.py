@@ -39,17 +39,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _straight_from_files(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a file, at most projected and filtered: joins and generators would repeat its place."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return "Relation" in node.nodeName()
+
+
 def located(docs: DataFrame, file_as: str = "__file", row_as: str = "__row") -> DataFrame:
     """``docs`` with the place of each row: file and row index in it.
 
     Places tell apart rows that are equal in every column. A frame that does
     not come straight from files is written to the shared folder first.
     """
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias(file_as), F.col("_metadata.row_index").alias(row_as))
-    except AnalysisException:
-        docs = materialize(docs, "located")
-        return docs.select("*", F.col("_metadata.file_path").alias(file_as), F.col("_metadata.row_index").alias(row_as))
+    place = F.col("_metadata.file_path").alias(file_as), F.col("_metadata.row_index").alias(row_as)
+    if _straight_from_files(docs):
+        try:
+            return docs.select("*", *place)
+        except AnalysisException:  # a relation without such columns
+            pass
+    return materialize(docs, "located").select("*", *place)
 
 
 def quoted(name: str):

@@ -220,3 +220,11 @@ def test_line_dedup_awkward(spark):
     assert got[20]["text"] == f"first\n{passage}\nlast" and got[21]["text"] == "other" and got[21]["removed"] == 1
     assert got[9]["text"] == "" and got[8]["removed"] == 0 and got[3]["text"] is None
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_that_share_a_file_row_are_told_apart(spark, tmp_path):
+    docs(spark, [(1, "same", "en", "a", 1), (2, "other", "en", "a", 1)]).write.parquet(str(tmp_path / "d"))
+    twice = spark.read.parquet(str(tmp_path / "d")).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = exact_dedup.exact_groups(twice).collect()
+    assert len(got) == 4 and sum(r["kept"] for r in got) == 2
+    assert exact_dedup.drop_exact_duplicates(twice).count() == 2 == simhash.drop_near_duplicates(twice).count()
