@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from sedimenta.functions.scalars import ancestors, base_of, category_of, csv_cell, ext_of, fmt_time, human_count, under_any, verdict_label, verdict_words
 from sedimenta.limits import CATEGORIES, CSV_CONFLICTS, CSV_DUPLICATES, CSV_FLAT, LIMITS, MIB, Limits
+from sedimenta.operators import duplicates, ranking
 from sedimenta.operators.duplicates import Match, physical
 
 
@@ -208,3 +209,50 @@ class PageRequest:
 
     def rows(self, rows: DataFrame, order: list[Column]) -> DataFrame:
         return page(rows, order, self.offset, self.limit, self.limits.page_rows, self.limits.page_rows_most)
+
+
+def _count(members: DataFrame, group: str) -> DataFrame:
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), total("n").alias("files"), total("b").alias("bytes"))
+
+
+def grouped_answer(members: DataFrame, query: Query = Query(), match: Match | None = None, request: PageRequest = PageRequest(), refs: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """What a request for a page of groups is answered with: page, rows, grand, total, dates.
+
+    Groups are refined (``match`` None: as they are stored, as conflicts always
+    are), counted (``grand``), searched and counted again (``total``). The page's
+    groups get their protection and reclaimable bytes whole, and only then are
+    their rows cut to the page's budget (``rows``: pos up to ``shown``).
+    """
+    group = "rank"
+    if match is not None:
+        refined = refine(members, match)
+        first = refined.groupBy("rank", "sub").agg(F.count(F.lit(1)).alias("names"))
+        members = refined.join(first.select("rank", "sub"), ["rank", "sub"]).withColumn("group", F.struct("rank", "sub"))
+        group = "group"
+    found = search_groups(members, query, group)
+    sizes = found.groupBy(group).agg(F.count(F.lit(1)).alias("names"))
+    order = [F.col(group)]
+    limit = min(request.limit if request.limit > 0 else request.limits.page_groups, request.limits.page_groups_most)
+    picked = page(sizes, order, request.offset, request.limit, request.limits.page_groups, request.limits.page_groups_most)
+    numbered = picked.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long")).limit(limit)
+    shown = ranking.trimmed(numbered, request.limits.trim_page, request.limits.trim_group, request.limits.trim_least, "place")
+    rows = flagged(found.join(F.broadcast(shown.select(group, "place", "shown")), group), list(refs))
+    free = duplicates.reclaim(rows, F.col("prot"), "place")
+    pos = F.row_number().over(W.partitionBy("place").orderBy("pos"))
+    return {
+        "page": shown.join(free, "place").select("place", group, "names", "shown", "reclaim"),
+        "rows": rows.withColumn("n", pos).where(F.col("n") <= F.col("shown")).drop("n", "shown"),
+        "grand": _count(members, group),
+        "total": _count(found, group),
+        "dates": date_spans(members),
+    }
+
+
+def flat_answer(stored: DataFrame, query: Query = Query(), sort: str = "", descending: bool = False, request: PageRequest = PageRequest(), refs: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The same for a flat tool: page, grand, total, dates."""
+    found = search_rows(stored, query)
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    rows = request.rows(found, sort_order(sort, descending, stored.columns))
+    return {"page": flagged(rows, list(refs)), "grand": count(stored), "total": count(found), "dates": date_spans(stored)}

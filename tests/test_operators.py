@@ -218,3 +218,25 @@ def test_scan_runs_every_tool(spark):
 def test_flat_order_is_total(spark):
     ent = entries(spark, [(f"/v/{n}.tmp", 1, "h") for n in "cab"])
     assert [r["path"] for r in flat.stored(flat.temp_files(ent), dataclasses.replace(LIMITS, flat_rows=2)).orderBy("pos").collect()] == ["/v/a.tmp", "/v/b.tmp"]
+
+
+def test_grouped_answer(spark):
+    rows = [(f"/v/big/{i:02}", 10, "x", {"created_unix": 5 + i % 2}) for i in range(8)] + [("/v/ref/a", 7, "y"), ("/v/b", 7, "y"), ("/v/c/1", 3, "z"), ("/v/c/2", 3, "z")]
+    ent = entries(spark, rows)
+    stored = duplicates.members(ent, duplicates.ordered(duplicates.groups(ent)))
+    small = dataclasses.replace(LIMITS, page_groups=2, trim_page=6, trim_group=5, trim_least=2)
+    got = results.grouped_answer(stored, results.Query(q="/v/"), None, results.PageRequest(limits=small), ("/v/ref",))
+    page = [(r["place"], r["names"], r["shown"], r["reclaim"]) for r in got["page"].orderBy("place").collect()]
+    assert page == [(1, 8, 5, 70), (2, 2, 2, 7)] and got["rows"].count() == 7
+    assert tuple(got["grand"].first()) == (3, 12, 100) == tuple(got["total"].first())
+    got = results.grouped_answer(stored, results.Query(loc="/v/c"), Match(name=False, modified=True), results.PageRequest(), ())
+    assert got["total"].first()["groups"] == 1 and got["grand"].first()["groups"] == 3 and got["rows"].count() == 2
+    got = results.grouped_answer(stored, results.Query(), Match(created=True), results.PageRequest(), ())
+    assert [r["names"] for r in got["page"].collect()] == [4, 4]
+
+
+def test_flat_answer(spark):
+    ent = entries(spark, [(f"/v/{n}.tmp", i, "h") for i, n in enumerate("abcd")])
+    got = results.flat_answer(flat.stored(flat.temp_files(ent)), results.Query(q="tmp"), "size", True, results.PageRequest(offset=1, limit=2), ("/v/b.tmp",))
+    assert [(r["name"], r["prot"]) for r in got["page"].collect()] == [("c.tmp", False), ("b.tmp", True)]
+    assert tuple(got["total"].first()) == (4, 6)
