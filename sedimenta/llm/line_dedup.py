@@ -59,8 +59,19 @@ def _doubled(named: DataFrame, span: int) -> DataFrame:
     """From (pos, name) over ``span`` lines those over twice as many, where the doubled run occurs more than once."""
     later = named.select((F.col("pos") - span).alias("pos"), F.col("name").alias("tail"))
     pairs = named.join(later, "pos").where((F.col("pos").bitwiseAND((1 << LINE_BITS) - 1) + span) < (1 << LINE_BITS))
-    named = pairs.groupBy("name", "tail").agg(F.min("pos").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return pairs.join(named.select("name", "tail", "new"), ["name", "tail"]).select("pos", F.col("new").alias("name"))
+    pairs = materialize(pairs.select("pos", "name", "tail"), "line-pairs")
+    return _joined(pairs, ["name", "tail"], F.min("pos").alias("new"), F.count(F.lit(1)).alias("n")).where("n > 1").select("pos", F.col("new").alias("name"))
+
+
+def _joined(rows: DataFrame, keys: list[str], *aggregates) -> DataFrame:
+    """``rows`` (already written) with the aggregates of their group.
+
+    The groups are written before they are joined back: then both sides of
+    the join are plain shuffles, of which Spark splits a partition that a very
+    common key swells, or the groups are few and are sent to all.
+    """
+    groups = materialize(rows.groupBy(*keys).agg(*aggregates), "line-groups")
+    return rows.join(small(groups), keys)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_weight: int = 50) -> DataFrame:
@@ -70,13 +81,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = F.regexp_count("said", F.lit(r"[^\x20\x09-\x0D]+"))
     lines = materialize(split.select("file", "row", F.col("line").cast("long").alias("line"), F.unhex(F.sha2("said", 256)).alias("digest"), F.greatest(words, F.lit(1)).cast("long").alias("weight")), "line-rows")
 
-    again = lines.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    again = materialize(lines.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "line-again")
     order = materialize(_ordered(chosen), "line-docs")
     number = F.when(F.col("line") < (1 << LINE_BITS), F.shiftleft("d", LINE_BITS) + F.col("line")).otherwise(F.raise_error(F.lit("a text has too many lines")).cast("long"))
-    repeated = lines.join(again, "digest").join(order.hint("shuffle_merge"), ["file", "row"])
+    repeated = lines.join(small(again), "digest").join(order.hint("shuffle_merge"), ["file", "row"])
     repeated = materialize(repeated.select(number.alias("pos"), "digest", "weight"), "line-repeated")
-    firsts = repeated.groupBy("digest").agg(F.min("pos").alias("name"))
-    level = materialize(repeated.join(firsts, "digest").select("pos", "name"), "line-names")
+    level = materialize(_joined(repeated, ["digest"], F.min("pos").alias("name")).select("pos", "name"), "line-names")
 
     runs = materialize(_minimal_runs(repeated, min_weight), "line-runs")
     longest = runs.agg(F.max("m")).first()[0] or 0
@@ -91,8 +101,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     head = names.select("k", F.col("pos").alias("start"), F.col("name").alias("head"))
     tail = names.select("k", F.col("pos").alias("last"), F.col("name").alias("tail"))
     whole = materialize(ends.join(head, ["k", "start"]).join(tail, ["k", "last"]).select("start", "m", "head", "tail"), "line-whole")
-    earliest = whole.groupBy("m", "head", "tail").agg(F.min("start").alias("first"))
-    copies = whole.join(earliest, ["m", "head", "tail"]).where("start > first").select("start", "m").distinct()
+    copies = _joined(whole, ["m", "head", "tail"], F.min("start").alias("first")).where("start > first").select("start", "m").distinct()
     gone = copies.select(F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("pos")).distinct()
 
     gone = gone.select(F.shiftright("pos", LINE_BITS).alias("d"), F.col("pos").bitwiseAND((1 << LINE_BITS) - 1).alias("line"))
