@@ -32,12 +32,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which equal shares of the sources interleave them."""
+    """All documents, in the order in which equal shares of the sources interleave them: files by name, rows within them."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents in sequences of 2,048 tokens, packed in the order of the mixture."""
+    """Pieces of tokenised documents in sequences of 2,048 tokens; a sequence's documents come from one stretch of the mixture."""
     return pack(docs)
 
 
