@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from sedimenta.llm.storage import ascii_lower, fresh_dir, located, materialize, plain, restored, small
 
 #: The state's store. Without fallocate, as many small partitions would each reserve megabytes of disk;
-#: and all stores of an executor share one bounded cache, however many partitions it has.
+#: all stores of an executor share one bounded cache, however many partitions it has, and a store is
+#: closed when its task has committed, so it holds no memory beside the stages that follow.
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
