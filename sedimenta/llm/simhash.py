@@ -179,7 +179,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Words of a shingle and least similarity of near-duplicate texts.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: Fingerprints of texts that similar nearly always differ in no more bits: those of the different words, those of shingles.
-CANDIDATE_BITS = {"words": 12, "fp": 16}
+CANDIDATE_BITS = {"words": 12, "fp": 14}
 
 
 def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
@@ -199,25 +199,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 1.0
 
 
-def _neighbours(nodes: DataFrame, column: str) -> DataFrame:
-    """(a, b), a > b: nodes(node, ``column``) that stand side by side under a key of their fingerprints and differ in few bits.
+def _neighbours(nodes: DataFrame, column: str, other: str) -> DataFrame:
+    """(a, b), a > b: nodes(node, ``column``, ``other``) that stand side by side under a key of ``column`` and differ in few bits of both.
 
     All that a key gathers is put in order and each compared with the next, so
     a key that very many texts share gives as many pairs as it has texts.
+    Texts that share a key by chance are near in one fingerprint only.
     """
 
     def run(batches):
         for batch in batches:
-            node, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", column))
+            node, fp, second = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", column, other))
             for at in range(0, len(fp), 4096):
                 part = fp[at : at + 4096]
                 where, key = lookup_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[where]), pa.array(node[at : at + 4096][where])], names=["key", "print", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[where]), pa.array(second[at : at + 4096][where]), pa.array(node[at : at + 4096][where])], names=["key", "print", "second", "node"])
 
-    keyed = nodes.select("node", column).mapInArrow(run, "key int, print long, node long")
+    keyed = nodes.select("node", column, other).mapInArrow(run, "key int, print long, second long, node long")
     order = W.partitionBy("key").orderBy("print", "node")
-    beside = keyed.select("node", F.lag("node").over(order).alias("other"), F.bit_count(F.col("print").bitwiseXOR(F.lag("print").over(order))).alias("differ"))
-    near = beside.where((F.col("other") != F.col("node")) & (F.col("differ") <= CANDIDATE_BITS[column]))
+    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lag(c).over(order)))
+    beside = keyed.select("node", F.lag("node").over(order).alias("other"), differ("print").alias("first"), differ("second").alias("second"))
+    near = beside.where((F.col("other") != F.col("node")) & (F.col("first") <= CANDIDATE_BITS[column]) & (F.col("second") <= CANDIDATE_BITS[other]))
     return near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
@@ -246,9 +248,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
 
     def prints(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("__text")]
-            two = [np.array([fingerprint(t, w, repeats=r) for t in texts], dtype=np.uint64).view(np.int64) for w, r in ((width, True), (1, False))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__id", "__file", "__row")] + [pa.array(x) for x in two], names=["__id", "__file", "__row", "fp", "words"])
+            two = np.zeros((2, batch.num_rows), dtype=np.uint64)
+            for i, text in enumerate(batch.column("__text")):
+                said = text.as_py()
+                two[:, i] = fingerprint(said, width), fingerprint(said, 1, repeats=False)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__id", "__file", "__row")] + [pa.array(x.view(np.int64)) for x in two], names=["__id", "__file", "__row", "fp", "words"])
 
     def shingled(batches):
         for batch in batches:
@@ -268,7 +272,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
     by_bits = close.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = nodes.join(heads.hint("shuffle_merge"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
 
-    pairs = materialize(_neighbours(nodes, "words").unionByName(_neighbours(nodes, "fp")).distinct(), "simhash-pairs")
+    pairs = materialize(_neighbours(nodes, "words", "fp").unionByName(_neighbours(nodes, "fp", "words")).distinct(), "simhash-pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.join(asked, "node").select("node", "__file", "__row"), "simhash-wanted")
     texts = docs.select("__file", "__row", F.col(text_col).alias("text")).join(small(wanted), ["__file", "__row"])
