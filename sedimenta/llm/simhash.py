@@ -33,8 +33,8 @@ MAX_BITS = 3
 _LANES = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42, repeats: bool = True) -> int:
-    """SimHash of the ``width``-word shingles of a text, repeats counted unless told otherwise; zero without words.
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the ``width``-word shingles of a text, repeats counted; zero without words.
 
     Words are runs of anything but the bytes 9-13 and 32; A-Z are lower-cased.
     With fewer than ``width`` words the whole sequence is the only shingle.
@@ -44,8 +44,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, repeats: bool
         return 0
     tails = [words[i:] for i in range(min(width, len(words)))]
     digest = xxhash.xxh64_intdigest
-    shingles = (b" ".join(s) for s in zip(*tails, strict=False))
-    hashes = np.fromiter((digest(s, seed) for s in (shingles if repeats else set(shingles))), dtype="<u8")
+    hashes = np.fromiter((digest(b" ".join(s), seed) for s in zip(*tails, strict=False)), dtype="<u8")
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -178,18 +177,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Words of a shingle and least similarity of near-duplicate texts.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
-#: Fingerprints of texts that similar nearly always differ in no more bits: those of the different words, those of shingles.
-CANDIDATE_BITS = {"words": 12, "fp": 14}
+#: Buckets in which shingles are counted to order them, rare ones first; a bound on what tasks are sent, not on what is compared.
+_SKETCH_BITS, _SKETCH_PARTS = 21, 32
 
 
 def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
-    """Sorted 32-bit hashes of a text's different shingles; words and short texts as in :func:`fingerprint`."""
+    """Sorted 64-bit hashes of a text's different shingles; words and short texts as in :func:`fingerprint`."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint64)
     tails = [words[i:] for i in range(min(width, len(words)))]
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(s)) for s in zip(*tails, strict=False)), dtype=np.uint32))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in zip(*tails, strict=False)), dtype=np.uint64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -199,28 +198,131 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 1.0
 
 
-def _neighbours(nodes: DataFrame, column: str, other: str) -> DataFrame:
-    """(a, b), a > b: nodes(node, ``column``, ``other``) that stand side by side under a key of ``column`` and differ in few bits of both.
+def set_name(shingles: np.ndarray) -> int:
+    """The signed 64-bit hash that stands for a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def _sketch(texts: DataFrame) -> np.ndarray:
+    """How many of ``texts(text)`` hold a shingle of each bucket."""
+    width = (1 << _SKETCH_BITS) // _SKETCH_PARTS
+
+    def count(batches):
+        held = np.zeros(1 << _SKETCH_BITS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(held, (shingle_set(text.as_py()) >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), 1)
+        if held.any():
+            for part in range(_SKETCH_PARTS):
+                yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([held[part * width : (part + 1) * width].tobytes()])], names=["part", "counts"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                held[part] = held.get(part, 0) + np.frombuffer(counts.as_py(), dtype=np.int64)
+        for part, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([counts.tobytes()])], names=["part", "counts"])
+
+    out = np.zeros(1 << _SKETCH_BITS, dtype=np.int64)
+    schema = "part int, counts binary"
+    for r in texts.select("text").mapInArrow(count, schema).repartition(_SKETCH_PARTS, "part").mapInArrow(add, schema).collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+    return out
+
+
+def prefix(shingles: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """The shingles, in the common order (rare buckets first, then by hash), of which two sets at least ``least`` similar share one."""
+    many = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    order = np.argsort(sketch[(shingles >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)], kind="stable")
+    return shingles[order[:many]]
+
 
-    All that a key gathers is put in order and each compared with the next, so
-    a key that very many texts share gives as many pairs as it has texts.
-    Texts that share a key by chance are near in one fingerprint only.
+def _may_be(n, at, other_n, other_at, least: float):
+    """Whether sets of ``n`` and ``other_n`` whose first common shingle stands at these places of their orders can be similar; of numbers, arrays or columns."""
+    left, right = n - at, other_n - other_at
+    together = least / (1 + least) * (n + other_n) - 1e-6
+    return (n >= least * other_n - 1e-6) & (other_n >= least * n - 1e-6) & (left >= together) & (right >= together)
+
+
+def _postings(texts: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
+    """(key, node, n, at, prev, prev_n, prev_at) for each prefix shingle ``key`` that several of ``texts(text)`` hold.
+
+    ``n`` is the size of the set, ``at`` the shingle's place in its order,
+    ``prev`` the text before it under the key.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         for batch in batches:
-            node, fp, second = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", column, other))
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096]
-                where, key = lookup_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[where]), pa.array(second[at : at + 4096][where]), pa.array(node[at : at + 4096][where])], names=["key", "print", "second", "node"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [x for x in (shingle_set(t.as_py()) for t in batch.column("text")[at : at + 256]) if len(x)]
+                heads = [prefix(x, shared.value, least) for x in sets]
+                if not heads:
+                    continue
+                many = np.array([len(h) for h in heads])
+                names = np.array([set_name(x) for x in sets], dtype=np.int64)
+                places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                sizes = np.array([len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(names, many)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(places.astype(np.int32))],
+                    names=["key", "node", "n", "at"],
+                )
+
+    rows = texts.select("text").mapInArrow(run, "key long, node long, n int, at int")
+    order = W.partitionBy("key").orderBy("n", "node")
+    beside = rows.select("*", *[F.lag(c).over(order).alias(f"prev{end}") for c, end in (("node", ""), ("n", "_n"), ("at", "_at"))], F.lead("node").over(order).alias("next"))
+    return beside.where("prev is not null or next is not null").drop("next")
+
+
+def _across(postings: DataFrame, least: float) -> DataFrame:
+    """(a, b), a > b: all nodes of ``postings(key, node, n, at, component)`` that share a key, may be similar and are not yet in one component."""
+
+    def pairs(node, n, at, component):
+        order = np.argsort(component, kind="stable")
+        node, n, at, component = node[order], n[order], at[order], component[order]
+        first = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+        if len(first) == 1:
+            return
+        # Small components first: work is done for pairs of different ones only.
+        many = np.diff(np.append(first, len(node)))
+        by_size = np.argsort(many, kind="stable")
+        order = np.concatenate([np.arange(first[i], first[i] + many[i]) for i in by_size])
+        node, n, at, ends = node[order], n[order], at[order], np.repeat(np.cumsum(many[by_size]), many[by_size])
+        for i in range(len(node) - int(many[by_size[-1]])):
+            rest = slice(int(ends[i]), None)
+            good = node[rest][_may_be(n[i], at[i], n[rest], at[rest], least)]
+            if len(good):
+                yield np.maximum(good, node[i]), np.minimum(good, node[i])
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            out, size = [], 0
+            for pair in pairs(*(np.concatenate(c) for c in zip(*held, strict=True))) if held else ():
+                out.append(pair)
+                size += len(pair[0])
+                if size > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            key, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "at", "component"))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+            for x, y in zip(starts, [*starts[1:], len(key)], strict=True):
+                if key[x] != now:
+                    yield from done()
+                    now, held = key[x], []
+                held.append(tuple(c[x:y].astype(np.int64) for c in columns))
+        yield from done()
 
-    keyed = nodes.select("node", column, other).mapInArrow(run, "key int, print long, second long, node long")
-    order = W.partitionBy("key").orderBy("print", "node")
-    differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.lag(c).over(order)))
-    beside = keyed.select("node", F.lag("node").over(order).alias("other"), differ("print").alias("first"), differ("second").alias("second"))
-    near = beside.where((F.col("other") != F.col("node")) & (F.col("first") <= CANDIDATE_BITS[column]) & (F.col("second") <= CANDIDATE_BITS[other]))
-    return near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    mixed = postings.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    # Dealt again, as a skewed join may split a key over tasks.
+    listed = postings.join(mixed.hint("shuffle_merge"), "key").repartition("key").sortWithinPartitions("key")
+    return listed.select("key", "node", "n", "at", "component").mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -229,7 +331,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = (batch.column(c) for c in ("x", "y"))
-            good = [similarity(np.frombuffer(p.as_py(), dtype=np.uint32), np.frombuffer(q.as_py(), dtype=np.uint32)) >= least for p, q in zip(x, y, strict=True)]
+            good = [similarity(np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)) >= least for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("shuffle_merge"), "a")
@@ -240,19 +342,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     """(root, component_id, __id, __file, __row) for each row of :func:`located` ``docs``, linked as in :func:`near_groups` or by similar texts.
 
-    Texts are similar if their sets of five-word shingles are; candidates come
-    from that fingerprint and a second one, of the different words, which a few
-    changed words move less, under the same Golay keys, and are verified on the
-    whole sets.
+    Texts are similar if their sets of five-word shingles are. Of two such sets
+    the rarest fifth of either shares a shingle (prefix filter), so every pair
+    is met. First each text is compared with the one before it under such a
+    shingle, which gathers large groups by few comparisons; then all that still
+    are in different components. Either is verified on the whole sets.
     """
 
     def prints(batches):
         for batch in batches:
-            two = np.zeros((2, batch.num_rows), dtype=np.uint64)
-            for i, text in enumerate(batch.column("__text")):
-                said = text.as_py()
-                two[:, i] = fingerprint(said, width), fingerprint(said, 1, repeats=False)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__id", "__file", "__row")] + [pa.array(x.view(np.int64)) for x in two], names=["__id", "__file", "__row", "fp", "words"])
+            said = [t.as_py() for t in batch.column("__text")]
+            fp = np.array([fingerprint(t, width) for t in said], dtype=np.uint64).view(np.int64)
+            names = np.array([set_name(shingle_set(t)) for t in said], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__id", "__file", "__row")] + [pa.array(fp), pa.array(names)], names=["__id", "__file", "__row", "fp", "node"])
 
     def shingled(batches):
         for batch in batches:
@@ -261,27 +363,37 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
 
     chosen = docs.select(F.col(id_col).alias("__id"), "__file", "__row", F.col(text_col).alias("__text"))
     kind = chosen.schema["__id"].dataType.simpleString()
-    seen = materialize(chosen.mapInArrow(prints, f"__id {kind}, __file string, __row long, fp long, words long"), "simhash-prints")
-    places = seen.groupBy("fp", "words").agg(F.min(F.struct("__file", "__row")).alias("p"))
-    nodes = materialize(places.select("fp", "words", "p.__file", "p.__row", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
+    seen = materialize(chosen.mapInArrow(prints, f"__id {kind}, __file string, __row long, fp long, node long"), "simhash-prints")
+    nodes = materialize(seen.groupBy("node").agg(F.min(F.struct("__file", "__row")).alias("p")).select("node", "p.__file", "p.__row"), "simhash-nodes")
+    repeats = materialize(seen.select("__file", "__row").join(nodes.hint("shuffle_merge"), ["__file", "__row"], "left_anti"), "simhash-repeats")
+    texts = docs.select("__file", "__row", F.col(text_col).alias("text")).join(small(repeats), ["__file", "__row"], "left_anti")
 
-    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "simhash-heads")
+    known = seen.select("fp", "node").distinct()
+    heads = materialize(known.groupBy("fp").agg(F.min("node").alias("head")), "simhash-heads")
     close = near_links(heads)
     named = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")).hint("shuffle_merge")
     other = heads.select(F.col("fp").alias("b"), F.col("head").alias("y")).hint("shuffle_merge")
     by_bits = close.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = nodes.join(heads.hint("shuffle_merge"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-
-    pairs = materialize(_neighbours(nodes, "words", "fp").unionByName(_neighbours(nodes, "fp", "words")).distinct(), "simhash-pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(asked, "node").select("node", "__file", "__row"), "simhash-wanted")
-    texts = docs.select("__file", "__row", F.col(text_col).alias("text")).join(small(wanted), ["__file", "__row"])
-    sets = materialize(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "simhash-sets")
-    links = materialize(by_bits.unionByName(same).unionByName(_similar(pairs, sets, least)), "simhash-links")
-
-    linked = components(links).hint("shuffle_merge")
-    roots = materialize(nodes.join(linked, "node", "left").select("fp", "words", F.coalesce("component", "node").alias("root")), "simhash-roots")
-    rows = materialize(seen.join(roots.hint("shuffle_merge"), ["fp", "words"]).select("__id", "__file", "__row", "root"), "simhash-rows")
+    same = known.join(heads.hint("shuffle_merge"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(nodes.join(asked, "node").select("node", "__file", "__row"), "simhash-wanted")
+        sets = materialize(docs.select("__file", "__row", F.col(text_col).alias("text")).join(small(wanted), ["__file", "__row"]).select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "simhash-sets")
+        return _similar(pairs, sets, least)
+
+    postings = materialize(_postings(texts, _sketch(texts), least), "simhash-postings")
+    beside = postings.where(F.col("prev").isNotNull() & _may_be(F.col("n"), F.col("at"), F.col("prev_n"), F.col("prev_at"), least))
+    pairs = materialize(beside.select(F.greatest("node", "prev").alias("a"), F.least("node", "prev").alias("b")).distinct(), "simhash-pairs")
+    links = materialize(by_bits.unionByName(same).unionByName(verified(pairs)), "simhash-links")
+    linked = components(links)
+    grouped = postings.join(linked.hint("shuffle_merge"), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+    apart = materialize(_across(materialize(grouped, "simhash-grouped"), least).join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "simhash-apart")
+    more = materialize(verified(apart), "simhash-more")
+    linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)).hint("shuffle_merge")
+
+    roots = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "simhash-roots")
+    rows = materialize(seen.join(roots.hint("shuffle_merge"), "node").select("__id", "__file", "__row", "root"), "simhash-rows")
     leads = rows.groupBy("root").agg(F.min("__id").alias("component_id"))
     return rows.join(leads, "root").select("root", "component_id", "__id", "__file", "__row")
 

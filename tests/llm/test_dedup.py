@@ -174,6 +174,35 @@ def test_similar_texts_are_found_and_others_are_not(spark):
     assert set(want) <= kept and len(missed) <= 0.1 * (len(rows) - len(set(want))) and len(set(want)) > 80
 
 
+def test_similar_texts_are_all_found(spark):
+    """Texts of equal fingerprint neighbourhoods, one similar pair among many that sort between its halves."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    common = " ".join(rng.choices(vocabulary, k=60))
+    rows = []
+    for base in range(60):
+        words = rng.choices(vocabulary, k=300)
+        for copy in range(4):
+            own = list(words)
+            for at in rng.sample(range(300), copy * 4):
+                own[at] = rng.choice(vocabulary)
+            rows.append((10 * base + copy, f"{common} {' '.join(own)}", "en", "a", 1))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert kept == set(components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows], [r[1] for r in rows]))
+
+
+def test_pairs_across_components_are_all_met(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, n, rng.choice((10, 12, 30)), rng.randrange(3), rng.randrange(4)) for k in range(5) for n in range(40)]
+    got = simhash._across(spark.createDataFrame(rows, "key long, node long, n int, at int, component long").repartition(3), 0.8)
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and simhash._may_be(*a[2:4], *b[2:4], 0.8)}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+
+
 def test_near_empty_table(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
