@@ -193,6 +193,22 @@ def test_similar_texts_are_all_found(spark):
     assert kept == set(components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows], [r[1] for r in rows]))
 
 
+def test_similar_texts_with_other_repeats_are_found(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for base in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        last = " ".join(words[-12:])
+        rows.append((2 * base, " ".join(words), "en", "a", 1))
+        rows.append((2 * base + 1, " ".join([*words, *[last] * 20]), "en", "a", 1))
+    far = [(brute_fingerprint(a[1]) ^ brute_fingerprint(b[1])).bit_count() for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(x > 14 for x in far) > 10
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert kept == set(components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows], [r[1] for r in rows])) == set(range(0, 80, 2))
+
+
 def test_pairs_across_components_are_all_met(spark):
     import random
 
