@@ -1,22 +1,23 @@
 """Scoring documents by the code length of a model of partial matching, beside a word-frequency base.
 
-Three passes. The first counts, task by task, byte contexts of the training
-documents and words by chunk of documents; both leave a task already summed, as
-sorted blocks dealt to shards. The shards add up contexts, of which a bounded
-model is made and sent to all tasks, and words, whose counts go back to the
-chunks that asked. The last pass reads each chunk's counts, then its documents.
+Three passes. The first counts, by chunk of documents, byte contexts and words;
+both leave a task already summed, as sorted blocks dealt to shards, with a count
+of zero for what is asked only. The shards add up words, whose counts go back to
+the chunks that asked, and contexts, of which each shard makes the model of its
+own and sends the probabilities back likewise; nothing is left out and no task
+holds the whole model. The last pass reads a chunk's answers, then its documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from itertools import repeat
+from itertools import groupby, repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,6 @@ CHUNK_ROWS = 2048
 TASK_GRAMS = 1_000_000
 #: Bytes of text taken at once.
 SLICE_BYTES = 1 << 20
-_GRAM_SHARDS = 64
 _SCHEMA = "kind string, shard int, chunk long, words binary, counts binary"
 _NAMES = ["kind", "shard", "chunk", "words", "counts"]
 
@@ -50,14 +50,28 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [(t.as_buffer().to_pybytes() if t.is_valid else b"").lower() for t in column]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers with their bytes apart, compressed: sorted keys and small counts shrink to a third."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 class _Grams:
-    """Contexts counted by one task."""
+    """Contexts counted together."""
 
     def __init__(self):
         self.keys, self.counts, self.loose = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
 
-    def add(self, texts: list[bytes]) -> None:
-        self.loose.append(ppm.summed(ppm.grams(ppm.joined(texts)[0])[1]))
+    def add(self, texts: list[bytes], times: int = 1) -> None:
+        keys, counts = ppm.summed(ppm.grams(ppm.joined(texts)[0])[1])
+        self.merge(keys, counts * times)
+
+    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.loose.append((keys, counts))
         if sum(len(k) for k, _ in self.loose) > TASK_GRAMS:
             self.fold()
 
@@ -66,18 +80,13 @@ class _Grams:
         self.keys, self.counts = ppm.summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         self.loose = []
 
-    def merge(self, keys: bytes, counts: bytes) -> None:
-        self.loose.append((np.frombuffer(keys, dtype=np.uint64), np.frombuffer(counts, dtype=np.int64)))
-        if sum(len(k) for k, _ in self.loose) > TASK_GRAMS:
-            self.fold()
-
-    def rows(self, salt: int):
+    def rows(self, chunk: int, shards: int):
         """Blocks by the context's last two bytes: grams whose shorter contexts add up lie together from order 2 on."""
         self.fold()
-        shard = (((self.keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(8)) % np.uint64(_GRAM_SHARDS)
+        shard = (((self.keys >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(8)) % np.uint64(shards)
         for s in np.unique(shard):
             own = shard == s
-            yield ("gram", int(s), salt, self.keys[own].tobytes(), self.counts[own].tobytes())
+            yield ("gram", int(s), chunk, _packed(self.keys[own]), _packed(self.counts[own]))
         self.keys, self.counts = self.keys[:0], self.counts[:0]
 
 
@@ -102,29 +111,32 @@ def _collected(docs: DataFrame, shards: int) -> DataFrame:
     """Gram and word blocks of ``docs(chunk, held, text)``."""
 
     def run(batches):
-        grams, now, seen, salt = _Grams(), None, Counter(), TaskContext.get().partitionId()
+        grams, now, seen = _Grams(), None, Counter()
         for batch in batches:
             for part in _slices(batch):
-                texts, held, chunks = _texts(part.column("text")), part.column("held").to_pylist(), part.column("chunk").to_pylist()
-                for text, out, chunk in zip(texts, held, chunks, strict=True):
+                rows = zip(part.column("chunk").to_pylist(), _texts(part.column("text")), part.column("held").to_pylist(), strict=True)
+                for chunk, own in groupby(rows, key=lambda r: r[0]):
                     if chunk != now:
                         if seen:
                             yield _batch(_word_rows(now, seen, shards))
+                        if out := list(grams.rows(now, shards)):
+                            yield _batch(out)
                         now, seen = chunk, Counter()
-                    words = text.split()
-                    if out:
-                        seen.update(dict.fromkeys(words, 0))
-                    else:
-                        seen.update(words)
-                train = [t for t, out in zip(texts, held, strict=True) if not out]
-                if train:
-                    grams.add(train)
-                if len(grams.keys) > TASK_GRAMS:
-                    yield _batch(grams.rows(salt))
+                    learnt, asked = [], []
+                    for _, text, out in own:
+                        words = text.split()
+                        (asked if out else learnt).append(text)
+                        seen.update(dict.fromkeys(words, 0) if out else words)
+                    if learnt:
+                        grams.add(learnt)
+                    if asked:
+                        grams.add(asked, 0)
+                    if len(grams.keys) > TASK_GRAMS:
+                        yield _batch(grams.rows(now, shards))
         if seen:
             yield _batch(_word_rows(now, seen, shards))
-        if rows := list(grams.rows(salt)):
-            yield _batch(rows)
+        if out := list(grams.rows(now, shards)):
+            yield _batch(out)
 
     return docs.select("chunk", "held", "text").mapInArrow(run, _SCHEMA)
 
@@ -147,64 +159,57 @@ def _add_words(blocks: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(values, type=kind) for name, values, kind in kinds})
 
 
-def _added(batches):
-    """A task's gram blocks added up by shard; what is held is the different grams, not the blocks."""
+def _add_grams(batches):
+    """A shard's learnt grams of each order with their counts; what is held is the different grams, not the blocks.
+
+    Orders 0 and 1 are parts that the driver adds up; they are few.
+    """
+    schema = pa.schema([("shard", pa.int32()), ("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
     held: dict[int, _Grams] = {}
     for batch in batches:
         for shard, keys, counts in zip(batch.column("shard").to_pylist(), batch.column("words"), batch.column("counts"), strict=True):
-            held.setdefault(shard, _Grams()).merge(keys.as_py(), counts.as_py())
+            keys, counts = _unpacked(keys.as_py(), np.uint64), _unpacked(counts.as_py(), np.int64)
+            held.setdefault(shard, _Grams()).merge(keys[counts > 0], counts[counts > 0])
     for shard in sorted(held):
         own = held.pop(shard)
         own.fold()
-        yield shard, own.keys, own.counts
+        for j, (k, c, _) in enumerate(ppm.by_order(own.keys, own.counts)):
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "ord": j, "keys": _packed(k), "counts": _packed(c)}], schema=schema)
 
 
-def _add_some(batches):
-    for shard, keys, counts in _added(batches):
-        yield _batch([("gram", shard, 0, keys.tobytes(), counts.tobytes())])
-
-
-def _add_all(batches):
-    """A shard's grams of each order with their counts and their contexts', and how many each threshold leaves.
-
-    Orders 0 and 1 are parts that the driver adds up; they are few and always kept.
-    """
-    schema = pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.binary()), ("left", pa.list_(pa.int64()))])
-    for _, keys, counts in _added(batches):
-        out = []
-        for j, (k, c, n) in enumerate(ppm.by_order(keys, counts)):
-            left = [int((n >= 1 << t).sum()) if j > 1 else 0 for t in range(62)]
-            out.append({"ord": j, "keys": k.tobytes(), "counts": c.tobytes(), "seen": n.tobytes(), "left": left})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-
-def _model(blocks: DataFrame, most: int) -> ppm.Model:
-    """The model of all gram blocks. With many partitions shards are added up in two steps, the first also by where a block comes from."""
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _gram_answers(blocks: DataFrame, shards: int) -> DataFrame:
+    """(chunk, words, counts): the grams of each block and their log probabilities as floats, by the model of all that was learnt."""
+    spark = blocks.sparkSession
     own = blocks.where("kind = 'gram'")
-    if parts >= 4 * _GRAM_SHARDS:
-        own = own.repartition(parts, "shard", F.col("chunk") % (parts // _GRAM_SHARDS)).mapInArrow(_add_some, _SCHEMA)
-    added = own.repartition(_GRAM_SHARDS, "shard").mapInArrow(_add_all, "ord int, keys binary, counts binary, seen binary, left array<long>")
-    shards = materialize(added, "lm-grams")
-    left = np.array([r["left"] for r in shards.groupBy("ord").agg(F.array(*[F.sum(F.col("left")[t]) for t in range(62)]).alias("left")).collect()], dtype=np.int64).reshape(-1, 62).sum(axis=0)
-    least = 1 << int(np.argmax(left <= most)) if len(left) else 1
-
-    def keep(batches):
+    learnt = materialize(own.repartition(shards, "shard").mapInArrow(_add_grams, "shard int, ord int, keys binary, counts binary"), "lm-grams")
+    few = ppm.summed(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    for r in learnt.where("ord = 1").toLocalIterator():  # a gram of order 1 may be in several shards
+        few = ppm.summed(np.concatenate([few[0], _unpacked(r["keys"], np.uint64)]), np.concatenate([few[1], _unpacked(r["counts"], np.int64)]))
+    short = spark.sparkContext.broadcast([ppm.summed(ppm.shortened(few[0], 0)), few])
+
+    def run(batches):
+        now, tables, model = None, {}, None
         for batch in batches:
-            for j, k, c, n in zip(*(batch.column(x) for x in ("ord", "keys", "counts", "seen")), strict=True):
-                own = np.frombuffer(n.as_py(), dtype=np.int64) >= (least if j.as_py() > 1 else 0)
-                yield pa.RecordBatch.from_pylist([{"ord": j.as_py(), "keys": np.frombuffer(k.as_py(), dtype=np.uint64)[own].tobytes(), "counts": np.frombuffer(c.as_py(), dtype=np.int64)[own].tobytes()}], schema=pa.schema([("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+            for shard, order, chunk, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "ord", "chunk", "words", "counts")), strict=True):
+                if shard != now:
+                    now, tables, model = shard, {}, None
+                if chunk is None:
+                    tables[order] = _unpacked(keys, np.uint64), _unpacked(counts, np.int64)
+                    continue
+                if model is None:
+                    nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+                    model = ppm.Model([*short.value, *(tables.get(j, nothing) for j in range(2, ppm.ORDER + 1))])
+                    tables = {}
+                scores = model.score(_unpacked(keys, np.uint64)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], type=pa.int64()), pa.array([keys], type=pa.binary()), pa.array([_packed(scores)], type=pa.binary())], names=["chunk", "words", "counts"])
 
-    tables = [([np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]) for _ in range(ppm.ORDER + 1)]
-    for r in shards.mapInArrow(keep, "ord int, keys binary, counts binary").toLocalIterator():
-        tables[r["ord"]][0].append(np.frombuffer(r["keys"], dtype=np.uint64))
-        tables[r["ord"]][1].append(np.frombuffer(r["counts"], dtype=np.int64))
-    summed = [ppm.summed(np.concatenate(k), np.concatenate(c)) for k, c in tables]
-    summed[0] = ppm.summed(ppm.shortened(summed[1][0], 0))  # a gram of order 1 may be in several shards
-    return ppm.Model(summed)
+    told = learnt.where("ord > 1").select("shard", "ord", F.lit(None).cast("long").alias("chunk"), F.col("keys").alias("words"), "counts")
+    asked = own.select("shard", F.lit(ppm.ORDER + 1).alias("ord"), "chunk", "words", F.lit(None).cast("binary").alias("counts"))
+    dealt = told.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ord")
+    return dealt.mapInArrow(run, "chunk long, words binary, counts binary")
 
 
-def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_grams: int = ppm.MAX_GRAMS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row for each row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held`` is an SQL condition on ``docs``; rows where it holds are scored but
@@ -221,8 +226,6 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
     rows = placed.select("id", "held", "text", F.xxhash64("__file", F.floor(F.col("__row") / chunk_rows)).alias("chunk"))
     shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = materialize(_collected(rows, shards), "lm-blocks")
-    model = spark.sparkContext.broadcast(_model(blocks, most_grams))
-
     answers = materialize(blocks.where("kind = 'word'").groupBy("shard").applyInArrow(_add_words, "chunk long, words binary, counts binary, tokens long, different long"), "lm-words")
     sums = answers.agg(F.sum("tokens"), F.sum("different")).first()
     trained = rows.where("not held").count()
@@ -233,22 +236,40 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
     kind = rows.schema["id"].dataType.simpleString()
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", kind), ("held", "boolean"), ("text", "string"))]
     asked = answers.where("chunk is not null").select("chunk", F.lit(0).alias("turn"), *nothing, "words", "counts")
-    told = rows.select("chunk", F.lit(1).alias("turn"), "id", "held", "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
-    dealt = asked.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "turn")
+    scored = _gram_answers(blocks, shards).select("chunk", F.lit(1).alias("turn"), *nothing, "words", "counts")
+    told = rows.select("chunk", F.lit(2).alias("turn"), "id", "held", "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
+    dealt = asked.unionByName(scored).unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "turn")
 
     def run(batches):
-        now, count, logs = None, {}, np.log10
+        now, count, logs, blocks, table = None, {}, np.log10, [], None
+
+        def settle(texts):
+            """Scores of a chunk's texts by the chunk's answers."""
+            nonlocal blocks, table
+            if blocks:
+                keys, values = (np.concatenate(x) for x in zip(*blocks, strict=True))
+                order = np.argsort(keys, kind="stable")
+                blocks, table = [], (keys[order], values[order])
+            data, starts = ppm.joined(texts)
+            at, keys = ppm.grams(data)
+            return np.add.reduceat(table[1][np.searchsorted(table[0], keys)].astype(np.float64), np.searchsorted(at, starts)).tolist()
+
         for batch in batches:
             for part in _slices(batch):
-                kept, texts = [], []
+                kept, texts, scores = [], [], []
                 n_tokens, n_known, base = [], [], []
                 for i, (c, t) in enumerate(zip(part.column("chunk").to_pylist(), part.column("turn").to_pylist(), strict=True)):
                     if c != now:
-                        now, count = c, {}
+                        if texts:
+                            scores, texts = scores + settle(texts), []
+                        now, count, blocks, table = c, {}, [], None
                     if t == 0:
                         words = part.column("words")[i].as_py().split(b" ")
                         count.update(zip(words, np.frombuffer(part.column("counts")[i].as_py(), dtype=np.int64).tolist(), strict=True))
                         continue
+                    if t == 1:
+                        blocks.append((_unpacked(part.column("words")[i].as_py(), np.uint64), _unpacked(part.column("counts")[i].as_py(), np.float32)))
+                        continue
                     text = part.column("text")[i]
                     text = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower()
                     words = text.split()
@@ -260,12 +281,11 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
                     base.append(float(logs(seen + 0.5).sum()) + end - (len(words) + 1) * whole)
                 if not kept:
                     continue
-                data, starts = ppm.joined(texts)
-                at, keys = ppm.grams(data)
-                scores = np.add.reduceat(model.value.score(keys), np.searchsorted(at, starts))
+                if texts:
+                    scores += settle(texts)
                 where = pa.array(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(where), part.column("held").take(where), pa.array(n_tokens, type=pa.int64()), pa.array(n_known, type=pa.int64()), pa.array([known] * len(kept), type=pa.int64()), pa.array(base, type=pa.float64()), pa.array(scores)],
+                    [part.column("id").take(where), part.column("held").take(where), pa.array(n_tokens, type=pa.int64()), pa.array(n_known, type=pa.int64()), pa.array([known] * len(kept), type=pa.int64()), pa.array(base, type=pa.float64()), pa.array(scores, type=pa.float64())],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -8,10 +8,8 @@ excluded. Below the empty context, what is left is equally likely. The longest
 contexts count occurrences; shorter ones, which are asked only after an escape,
 count in how many different longer contexts the symbol came (update exclusion).
 
-Contexts seen fewer than ``least`` times are left out with all their symbols;
-``least`` is the smallest power of two that leaves at most ``MAX_GRAMS`` grams. As
-counts fall with the length of a context, the suffixes of a kept one are kept
-and have all its symbols, so what is excluded follows from the context alone.
+A model may be made of some contexts only, if with a context it has its suffixes
+and with a suffix all symbols of it: what is excluded then follows from these.
 """
 
 from __future__ import annotations
@@ -21,8 +19,6 @@ import numpy as np
 ORDER = 5
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 256
-#: Bound of the model that is sent to every task: grams over all orders (about 30 bytes each).
-MAX_GRAMS = 2_000_000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 

@@ -213,6 +213,19 @@ def test_lm_score(spark):
     assert next(r["score"] for r in alone if r["id"] == 1) == pytest.approx(-31 * np.log10(256))
 
 
+def test_lm_score_keeps_rare_contexts(spark):
+    """More than two million different grams are learnt; a text of contexts seen once keeps their probabilities."""
+    rng = np.random.default_rng(3)
+    learnt = ["".join(map(chr, rng.integers(33, 65, 60_000).tolist())) for _ in range(16)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(learnt)] + [(100, learnt[5][1000:1200], "en", "a", 1)]
+    got = {r["id"]: r["score"] for r in lm_scoring.score(docs(spark, rows), "doc_id = 100", chunk_rows=4).collect()}
+    keys, counts = ppm.summed(ppm.grams(ppm.joined([t.encode() for t in learnt])[0])[1])
+    tables = ppm.by_order(keys, counts)
+    assert sum(len(k) for k, _, _ in tables[2:]) > 2_000_000
+    whole = ppm.Model([(k, c) for k, c, _ in tables])
+    assert got[100] == pytest.approx(whole.score(ppm.grams(ppm.joined([rows[-1][1].encode()])[0])[1]).sum(), rel=1e-5)
+
+
 def test_lm_score_with_many_partitions(spark):
     rows = awkward() + [(100 + i, f"common words number {i % 7} again and again", "en", "a", 1) for i in range(60)]
     scores, before = [], spark.conf.get("spark.sql.shuffle.partitions")
