@@ -37,8 +37,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents in sequences of 2,048 tokens; a sequence's documents come from one stretch of the mixture."""
-    return pack(docs)
+    """Pieces of tokenised documents in sequences of 2,048 tokens, chunks of which follow the slots of the mixture.
+
+    Readers deal files by size, so the order is made anew: partitions ascend by slot and sequence ids by partition.
+    """
+    return pack(mixed(docs))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixture", mixture), ("packing", packing)]

@@ -63,3 +63,25 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_packing_follows_the_mixture_however_files_are_dealt(spark, tmp_path):
+    from sedimenta.llm import mixing
+
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(3000))
+    rows = [(i, text(i), "en", "hot" if i % 4 else "cold", 1) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    slot = {r["id"]: r["slot"] for r in mixing.mix(frame).collect()}
+    frame.repartition(5, "doc_id").write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "d")), SF).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    spans = defaultdict(list)
+    for r in pieces:
+        spans[r["sequence_id"] >> 40].append(slot[r["doc_id"]])
+    order = [spans[p] for p in sorted(spans)]
+    assert len(order) > 1 and len(set(slot.values())) > 3 and {r["doc_id"] for r in pieces} == set(slot)
+    assert all(max(a) <= min(b) for a, b in zip(order, order[1:]))
