@@ -14,9 +14,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a local one is chosen."""
+    """The cluster's shared folder; where none is named a local one is chosen if all tasks run in this process, and else it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sedimenta-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -39,6 +42,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of :func:`materialize` frames that nothing reads any more; others are left alone."""
+    for df in frames:
+        root = f"{shared_root(df.sparkSession)}/sedimenta/".split(":", 1)[-1]
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root.lstrip("/") in path:
+                drop_dir(df.sparkSession, path)
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` as the planner estimates them (from the files' sizes): for numbers of partitions, never for results."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _straight_from_files(docs: DataFrame) -> bool:
     """Whether each row of ``docs`` is a row of a file, at most projected and filtered: joins and generators would repeat its place."""
     node = docs._jdf.queryExecution().analyzed()
