@@ -24,6 +24,8 @@ TRAINED_ROLE = "assistant"
 BLOCK_BYTES = 1 << 20
 #: Bytes of text assembled at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of a text from which on it is copied whole, and bytes whose code points are counted together.
+LARGE, PART = 1 << 16, 1 << 20
 _ESCAPED = np.zeros(256, dtype=bool)
 _ESCAPED[list(b"<>\\")] = True
 _HEADER = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n", re.DOTALL)
@@ -39,23 +41,43 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _escape(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    marked = _ESCAPED[data]
-    added = np.concatenate([[0], np.cumsum(marked)])
-    at = np.arange(len(data)) + added[1:]
-    out = np.empty(len(data) + int(added[-1]), dtype=np.uint8)
-    out[at] = data
-    out[at[marked] - 1] = ord("\\")
-    return offsets + added[offsets], out
+    marks = np.flatnonzero(_ESCAPED[data])
+    if not len(marks):
+        return offsets, data
+    out = np.empty(len(data) + len(marks), dtype=np.uint8)
+    plain = np.ones(len(out), dtype=bool)
+    plain[marks + np.arange(len(marks))] = False
+    out[plain] = data
+    out[~plain] = ord("\\")
+    return offsets + np.searchsorted(marks, offsets), out
 
 
 def _scatter(out: np.ndarray, to: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> None:
-    out[np.repeat(to - offsets[:-1], np.diff(offsets)) + np.arange(len(data))] = data
+    """Copy each segment of ``data`` to its place: small ones by one scatter, each large one whole, as its indices would take many times its bytes."""
+    size = np.diff(offsets)
+    for i in np.flatnonzero(size > LARGE):
+        out[to[i] : to[i] + size[i]] = data[offsets[i] : offsets[i + 1]]
+    small = size <= LARGE
+    many = size[small]
+    source = np.repeat(offsets[:-1][small] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    out[source + np.repeat((to - offsets[:-1])[small], many)] = data[source]
 
 
 def _stamp(out: np.ndarray, to: np.ndarray, what: bytes) -> None:
     out[to[:, None] + np.arange(len(what))] = np.frombuffer(what, dtype=np.uint8)
 
 
+def _points(out: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many code points begin before each place of ``at``; counted a part at a time."""
+    found, before = np.zeros(len(at), dtype=np.int64), 0
+    for first in range(0, len(out), PART):
+        seen = np.concatenate([[0], np.cumsum((out[first : first + PART] & 0xC0) != 0x80)])
+        here = (at >= first) & (at <= first + PART)
+        found[here] = before + seen[at[here] - first]
+        before += int(seen[-1])
+    return found
+
+
 def assemble(conv: pa.Array, role: pa.Array, text: pa.Array, block_bytes: int = BLOCK_BYTES) -> list[pa.Array]:
     """Columns conv_id, n_turns, text, spans, n_chars of the blocks that consecutive turns make."""
     n = len(conv)
@@ -64,6 +86,8 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array, block_bytes: int =
     role_n, text_n = np.diff(role_at), np.diff(text_at)
     ends = np.cumsum(role_n + text_n + len(OPEN) + len(AFTER_ROLE) + len(CLOSE))
     start = np.concatenate([[0], ends[:-1]])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a turn takes 2 GiB or more when it is formatted")
     out = np.empty(int(ends[-1]), dtype=np.uint8)
     role_to = start + len(OPEN)
     text_to = role_to + role_n + len(AFTER_ROLE)
@@ -78,19 +102,19 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array, block_bytes: int =
     part = (start - start[np.maximum.accumulate(np.where(run, np.arange(n), 0))]) // block_bytes
     first = np.flatnonzero(run | np.concatenate([[False], part[1:] != part[:-1]]))
     last = np.append(first[1:], n)
-    points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
     block_of = np.repeat(np.arange(len(first)), last - first)
     trained = pc.fill_null(pc.equal(role, TRAINED_ROLE), False).to_numpy(zero_copy_only=False)
-    base = points[start[first]][block_of[trained]]
-    spans = pa.StructArray.from_arrays([pa.array(points[text_to[trained]] - base), pa.array(points[text_to[trained] + text_n[trained]] - base)], names=["start", "end"])
+    blocks = np.append(start[first], ends[-1])
+    edges = _points(out, blocks)
+    base = edges[:-1][block_of[trained]]
+    spans = pa.StructArray.from_arrays([pa.array(_points(out, text_to[trained]) - base), pa.array(_points(out, text_to[trained] + text_n[trained]) - base)], names=["start", "end"])
     span_at = np.concatenate([[0], np.cumsum(np.bincount(block_of[trained], minlength=len(first)))]).astype(np.int32)
-    offsets = np.append(start[first], ends[-1]).astype(np.int32)
     return [
         conv.take(pa.array(first)),
         pa.array(last - first),
-        pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out)),
+        pa.StringArray.from_buffers(len(first), pa.py_buffer(blocks.astype(np.int32)), pa.py_buffer(out)),
         pa.ListArray.from_arrays(pa.array(span_at), spans),
-        pa.array(points[offsets[1:]] - points[offsets[:-1]]),
+        pa.array(np.diff(edges)),
     ]
 
 
@@ -102,7 +126,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     the order of ``block``. Rows of equal turn number come in the order of role
     and text, and repeated rows are turns each; null turns come first; null
     roles and texts are empty; rows without a conversation make one of their own
-    with a null id. An empty table gives no blocks.
+    with a null id. An empty table gives no blocks. A very long turn takes a few
+    times its bytes of memory; one that takes 2 GiB or more, escaped, is an error.
     """
     names = ["conv_id", "turn", "role", "text"]
     rows = turns.select(*[F.col(c).alias(a) for c, a in zip((conv_col, turn_col, role_col, text_col), names, strict=True)])
