@@ -105,26 +105,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     ``queries`` and ``vectors`` have the same columns; a candidate with the
     query's own id is passed over. Equal scores go to the smaller id; a query
     with fewer candidates gets all. Vectors that are null or hold null or
-    non-finite components, rows without an id and vectors whose number of
-    components is not the queries' most common one take no part; repeated rows
-    are candidates each, repeated queries are one query. Sums beyond a long are
-    held at its ends. Empty tables give no rows.
+    non-finite components and rows without an id take no part; a query's
+    candidates are the vectors with as many components as it has, since no other
+    has an inner product with it. Repeated rows are candidates each, repeated
+    queries are one query. Sums beyond a long are held at its ends. Empty tables
+    give no rows.
     """
     spark = vectors.sparkSession
     sound = materialize(quantised(vectors, id_col, vector_col, scale), "topk-vectors")
     asked = materialize(quantised(queries, id_col, vector_col, scale).dropDuplicates(["id"]), "topk-queries")
-    shape = asked.groupBy(F.size("v").alias("wide")).count().orderBy(F.desc("count"), "wide").first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    wide = shape["wide"]
-    rows, asked = sound.where(F.size("v") == wide), asked.where(F.size("v") == wide)
-    norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("m")).first()["m"]
-    if norm is None:
-        return spark.createDataFrame([], schema)
+    found = []
+    # A handful at most in a table of embeddings; each is a search of its own.
+    for r in asked.select(F.size("v").alias("wide")).distinct().orderBy("wide").toLocalIterator():
+        found += _searched(sound.where(F.size("v") == r["wide"]), asked.where(F.size("v") == r["wide"]), r["wide"], k)
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
 
+def _searched(rows: DataFrame, asked: DataFrame, wide: int, k: int) -> list[DataFrame]:
+    """The results of the queries ``asked`` among ``rows``, all of ``wide`` components, a block of queries each."""
+    spark = rows.sparkSession
+    norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("m")).first()["m"]
     found, last = [], None
-    while True:
+    while norm is not None:
         block = asked.where(F.lit(True) if last is None else F.col("id") > last).orderBy("id").limit(QUERY_BLOCK).toPandas()
         if not len(block):
             break
@@ -138,10 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         kth = _thresholds(rows, wide, held, bound, k)
         found.append(materialize(_best(rows, wide, held, kth, k), "topk-found"))
         held.unpersist()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return found
 
 
 def _best(rows: DataFrame, wide: int, held, kth: np.ndarray, k: int) -> DataFrame:
