@@ -22,10 +22,12 @@ from sedimenta.llm.storage import materialize, plain, restored
 
 #: Most sources that can be mixed: their totals and schedule are held by the driver.
 MAX_SOURCES = 1000
-#: Slots of a period at most, but for rounding: what the driver schedules and a source's row of the table holds.
-MOST_SHARES = 10_000
+#: Slots of a period times its sources at most: what the driver schedules and sends to all tasks.
+MOST_SLOTS = 2_000_000
 #: Rows of a source that one task orders at a time, on average.
 BUCKET_ROWS = 2048
+#: Buckets of a source that one task adds up at a time, as a power of two.
+SUPER_BITS = 12
 _NULL = "\0null"
 
 
@@ -51,7 +53,8 @@ def period(shares: dict[str, int]) -> dict[str, list[int]]:
 def phases(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, int, int, int, int, list[int]]]:
     """(source, first block, end block, first slot, period, slots of a period) until every block is placed.
 
-    When a source has run out, the others go on by their shares alone: a new phase.
+    When a source has run out, the others go on by their shares alone: a new
+    phase. Of a phase shorter than its period only the slots in use are returned.
     """
     done, left, out, start = dict.fromkeys(blocks, 0), {s for s, n in blocks.items() if n}, [], 0
     while left:
@@ -64,38 +67,37 @@ def phases(shares: dict[str, int], blocks: dict[str, int]) -> list[tuple[str, in
         long = min(ends.values())
         for s in left:
             ran = long // total * now[s] + sum(x < long % total for x in slots[s])
-            out.append((s, done[s], done[s] + ran, start, total, slots[s]))
+            out.append((s, done[s], done[s] + ran, start, total, slots[s][: max(ran, 1)] if long < total else slots[s]))
             done[s] += ran
         start += long
         left = {s for s in left if done[s] < blocks[s]}
     return out
 
 
-def whole_shares(weights: dict[str, float]) -> dict[str, int]:
-    """Weights as whole shares: exact if these add up to ``MOST_SHARES`` at most, else rounded to as many in all, each at least one."""
-    parts = {s: Fraction(w).limit_denominator(1000) for s, w in weights.items()}
+def whole_shares(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Weights as the least whole shares in exactly their proportions; a float is the decimal it is written as."""
+    parts = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
     if min(parts.values()) <= 0:
-        raise ValueError("weights must be at least 0.001")
+        raise ValueError("weights must be greater than zero")
     scale = lcm(*(p.denominator for p in parts.values()))
     whole = {s: int(p * scale) for s, p in parts.items()}
     shared = gcd(*whole.values())
-    whole = {s: c // shared for s, c in whole.items()}
-    total = sum(whole.values())
-    if total <= MOST_SHARES:
-        return whole
-    return {s: max(1, round(c * MOST_SHARES / total)) for s, c in whole.items()}
+    return {s: c // shared for s, c in whole.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: id, origin, size, start, block, slot and the columns of ``carry``.
 
     ``size`` is the text's bytes plus one, ``start`` the sum of the sizes before
     it in its source, ``block`` start / block_bytes, ``slot`` the block's place in
     the mixture. Within a source, rows come in the order of a hash of their id
-    (ties: id, size). Sources without a weight get the least weight given, or 1;
-    none is dropped or repeated. A null source is a source of its own, a null
-    text is empty; repeated rows keep a place each; an empty table gives no rows.
-    At most ``MAX_SOURCES`` sources.
+    and text (ties: id, size, another hash of the text; rows that tie in all
+    have equal texts). Sources without a weight get the least weight given, or
+    1; none is dropped or repeated. A null source is a source of its own, a null
+    text is empty, a null id hashes by its text alone; repeated rows keep a
+    place each; an empty table gives no rows. At most ``MAX_SOURCES`` sources;
+    weights are greater than zero and, as whole shares, add up to at most
+    ``MOST_SLOTS`` divided by the number of sources, else it is an error.
     """
     spark = docs.sparkSession
     own = {c: f"__carry{i}" for i, c in enumerate(carry)}
@@ -103,7 +105,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
         F.col(id_col).alias("id"),
         F.coalesce(F.col(source_col), F.lit(_NULL)).alias("origin"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col)).alias("key"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
+        F.hash(F.col(text_col)).alias("mark"),
         *[F.col(c).alias(a) for c, a in own.items()],
     )
     many = rows.count()
@@ -113,14 +116,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     totals = {r["origin"]: r["b"] for r in sums.groupBy("origin").agg(F.sum("bytes").alias("b")).limit(MAX_SOURCES + 1).collect()}
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    given = whole_shares(weights or {"": 1})
-    shares = {s: given.get(s, min(given.values())) for s in totals}
+    given = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in (weights or {"": 1}).items()}
+    shares = whole_shares({s: given.get(s, min(given.values())) for s in totals}) if totals else {}
+    if sum(shares.values()) * len(shares) > MOST_SLOTS:
+        raise ValueError(f"these weights need a period of {sum(shares.values())} slots; use weights with fewer digits")
     plan = phases(shares, {s: -(-b // block_bytes) for s, b in totals.items()})
     table = spark.createDataFrame(plan, "origin string, b0 long, b1 long, slot0 long, period long, slots array<long>")
 
-    before = W.partitionBy("origin").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select("origin", "bucket", "offset")
-    inside = W.partitionBy("origin", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    # Offsets of buckets by two levels of prefix sums, so no task has all buckets of a source.
+    above = F.shiftright("bucket", SUPER_BITS)
+    before = W.partitionBy("origin").orderBy("super").rowsBetween(W.unboundedPreceding, -1)
+    supers = sums.groupBy("origin", above.alias("super")).agg(F.sum("bytes").alias("bytes"))
+    supers = supers.select("origin", "super", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("far"))
+    before = W.partitionBy("origin", "super").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    near = sums.withColumn("super", above).withColumn("near", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    offsets = near.join(supers, ["origin", "super"]).select("origin", "bucket", (F.col("near") + F.col("far")).alias("offset"))
+    inside = W.partitionBy("origin", "bucket").orderBy("key", "id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets.hint("shuffle_merge"), ["origin", "bucket"]).withColumn("start", F.col("ahead") + F.col("offset"))
     placed = placed.withColumn("block", F.floor(F.col("start") / F.lit(block_bytes)).cast("long"))
@@ -131,7 +142,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     return timed.select("id", placed["origin"], "size", "start", "block", slot.alias("slot"), *[F.col(a).alias(c) for c, a in own.items()])
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` in the order of the mixture, for writing: partitions and rows within them ascend by slot."""
     docs, names = plain(docs)
     placed = mix(docs, weights, block_bytes, names[id_col], names[text_col], names[source_col], tuple(names.values()))
