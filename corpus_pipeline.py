@@ -12,6 +12,7 @@ from sedimenta.llm.exact_dedup import drop_exact_duplicates
 from sedimenta.llm.mixing import mixed
 from sedimenta.llm.packing import pack
 from sedimenta.llm.quality import keep_good
+from sedimenta.llm.registry import SOURCE_WEIGHTS
 from sedimenta.llm.simhash import drop_near_duplicates
 from sedimenta.llm.storage import materialize
 
@@ -32,8 +33,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which equal shares of the sources interleave them: files by name, rows within them."""
-    return mixed(docs)
+    """All documents, in the order in which the sources' target weights interleave them: files by name, rows within them."""
+    return mixed(docs, SOURCE_WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Readers deal files by size, so the order is made anew: partitions ascend by slot and sequence ids by partition.
     """
-    return pack(mixed(docs))
+    return pack(mixed(docs, SOURCE_WEIGHTS))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixture", mixture), ("packing", packing)]
