@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -25,9 +26,14 @@ _FAST_BELOW = 0xCA
 
 @lru_cache(maxsize=2)
 def exact_tokenizer(path: str) -> tokenizers.Tokenizer:
-    found = tokenizers.Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return tokenizers.Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added_strings(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer makes one id wherever they stand in a text."""
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file).get("added_tokens", []))
 
 
 @lru_cache(maxsize=2)
@@ -38,14 +44,15 @@ def fast_tokenizer(path: str) -> tiktoken.Encoding:
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    """Token ids of one text as uint32, special tokens' strings being ordinary text.
+    """Token ids of one text as uint32: those of the tokenizer itself, called with ``add_special_tokens=False``.
 
     The rank file beside the tokenizer holds the same vocabulary and is four
-    times as fast; texts with characters from U+0280 on go to the tokenizer
-    itself, whose Unicode tables may differ. Either is loaded when it is needed.
+    times as fast; texts with characters from U+0280 on, whose Unicode tables
+    may differ, and texts that hold a string of an added token go to the
+    tokenizer itself. Either is loaded when it is needed.
     """
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    if not len(raw) or raw.max() < _FAST_BELOW:
+    if (not len(raw) or raw.max() < _FAST_BELOW) and not any(x in text for x in added_strings(path)):
         return fast_tokenizer(path).encode_to_numpy(text, disallowed_special=())
     return np.array(exact_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
