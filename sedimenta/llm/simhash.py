@@ -394,8 +394,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
 
     roots = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "simhash-roots")
     rows = materialize(seen.join(roots.hint("shuffle_merge"), "node").select("__id", "__file", "__row", "root"), "simhash-rows")
-    leads = rows.groupBy("root").agg(F.min("__id").alias("component_id"))
-    return rows.join(leads, "root").select("root", "component_id", "__id", "__file", "__row")
+    # Written first, so that both sides are plain shuffles, of which Spark splits a very large group.
+    leads = materialize(rows.groupBy("root").agg(F.min("__id").alias("component_id")), "simhash-leads")
+    return rows.join(leads.hint("shuffle_merge"), "root").select("root", "component_id", "__id", "__file", "__row")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: float | None = SIMILAR) -> DataFrame:
