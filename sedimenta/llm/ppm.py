@@ -31,6 +31,27 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.cumsum(sizes) - sizes
 
 
+def windows(texts: list[bytes], most: int):
+    """(number of the first text, marked bytes, where texts begin in them): texts together up to ``most`` bytes, a longer one in parts that overlap by a context."""
+    at, held = 0, 0
+    for i, text in enumerate(texts):
+        if len(text) > most:
+            if at < i:
+                yield at, *joined(texts[at:i])
+            for first in range(0, len(text) + 1, most):
+                before = text[max(0, first - ORDER) : first]
+                part = START * (ORDER - len(before)) + before + text[first : first + most] + (END if first + most > len(text) else b"")
+                yield i, np.frombuffer(part, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+            at, held = i + 1, 0
+            continue
+        held += len(text)
+        if held >= most:
+            yield at, *joined(texts[at : i + 1])
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, *joined(texts[at:])
+
+
 def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, gram) of each symbol: its context's bytes, oldest highest, and itself lowest."""
     keys = np.zeros(len(data) - ORDER, dtype=np.uint64)

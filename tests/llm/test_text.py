@@ -2,11 +2,14 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sedimenta.llm import chat, lm_scoring, mixing, packing, ppm, quality, topk, urls
 from sedimenta.llm.components import components
@@ -77,6 +80,39 @@ def test_assign_places_everything(lengths, capacity):
     assert len(used) == -(-sum(lengths) // capacity)
 
 
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>é", "<|endoftext", "plain"])
+def test_ids_are_those_of_the_literal_call(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encode(text, path).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=25), st.integers(1, 16))
+def test_assign_matches_the_rule_step_by_step(lengths, capacity):
+    want, rest, cut = [], [], 0
+    for doc, n in enumerate(lengths):
+        for start in range(0, n - n % capacity, capacity):
+            want.append((doc, start, capacity, cut, 0))
+            cut += 1
+        if n % capacity:
+            rest.append((doc, n - n % capacity, n % capacity))
+    bins = [[] for _ in range(ceil(sum(n for *_, n in rest) / capacity))]
+    room = lambda b: capacity - sum(b)
+    cost = lambda b: sum(packing.LINEAR * n + packing.QUADRATIC * n * n for n in b)
+    for doc, start, n in sorted(rest, key=lambda r: (-r[2], r[0])):
+        whole = [b for b in bins if room(b) >= n]
+        while n:
+            b = min(whole or [b for b in bins if room(b)], key=lambda b: (cost(b), next(i for i, x in enumerate(bins) if x is b)))
+            part = min(n, room(b))
+            want.append((doc, start, part, cut + next(i for i, x in enumerate(bins) if x is b), sum(b)))
+            b.append(part)
+            start, n = start + part, n - part
+    assert sorted(packing.assign(np.array(lengths, dtype=np.int64), capacity)) == sorted(want)
+
+
 def test_pack(spark):
     import public_tokenizers
 
@@ -112,6 +148,63 @@ def test_schedule_stays_within_a_block(shares, data):
             assert all(abs(done[s] - n * shares[s] / total) < 1 for s in now)
 
 
+def test_long_texts_are_taken_in_parts():
+    rng = np.random.default_rng(1)
+    long = bytes(rng.choice(np.frombuffer(b"ab \n\t", dtype=np.uint8), 5000))
+    texts = [b"short", long, b"", b"x" * 40, long[:33]]
+    want = [sorted(ppm.grams(ppm.joined([t])[0])[1].tolist()) for t in texts]
+    got = [[] for _ in texts]
+    for first, data, starts in ppm.windows(texts, 32):
+        at, keys = ppm.grams(data)
+        for i, k in zip(np.searchsorted(starts, at, side="right") - 1 if len(starts) > 1 else np.zeros(len(at), dtype=int), keys.tolist(), strict=True):
+            got[first + i].append(k)
+    assert [sorted(g) for g in got] == want
+    before, lm_scoring.SLICE_BYTES = lm_scoring.SLICE_BYTES, 64
+    try:
+        assert [w for part in lm_scoring._words(long) for w in part] == long.split()
+    finally:
+        lm_scoring.SLICE_BYTES = before
+
+
+def test_long_turns_are_copied_whole():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    said = ("é<x> " * 40_000, "plain " * 700_000)
+    conv, role, text = pa.array([1, 1, 1]), pa.array(["user", "assistant", "assistant"]), pa.array([said[0], said[1], "a<b"])
+    tracemalloc.start()
+    ids, count, blocks, spans, chars = chat.assemble(conv, role, text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    read = [t for b in blocks.to_pylist() for t in chat.read_turns(b)]
+    assert read == [("user", said[0]), ("assistant", said[1]), ("assistant", "a<b")] and sum(count.to_pylist()) == 3
+    assert [len(b) for b in blocks.to_pylist()] == chars.to_pylist()
+    assert [chat.unescape(b[x["start"] : x["end"]]) for b, own in zip(blocks.to_pylist(), spans.to_pylist()) for x in own] == [said[1], "a<b"]
+    assert most < 8 * sum(len(t.encode()) for t in said)
+
+
+def test_top_k_of_vectors_of_several_widths_and_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0, 0.5][: 2 + i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("id", "v", "q", "n", "score", "rank", "query_id"):
+        df = df.withColumn(c, F.lit("x"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id in (4, 9)"), 3).collect()}
+    for q in (4, 9):
+        own = [[int(1024 * x) for x in v] for _, v in rows]
+        best = sorted((-sum(x * y for x, y in zip(own[q], own[i])), i) for i in range(60) if i != q and len(own[i]) == len(own[q]))[:3]
+        assert [got[q, r] for r in (1, 2, 3)] == [(i, -s) for s, i in best]
+
+
+def test_clashing_names_of_chats_and_pages(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], TURNS)
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<p>")], "page_id long, url string, html string")
+    for c in ("block", "spans", "n_turns", "n_chars", "id", "host", "path", "rule", "r", "hit", "node", "a", "b", "__url", "__node"):
+        turns, pages = turns.withColumn(c, F.lit("x")), pages.withColumn(c, F.lit("x"))
+    assert chat.digests(chat.format_conversations(turns)).first()["n_turns"] == 2
+    assert urls.filter_urls(pages, [("block", "net", "/")]).first()["verdict"] == "block"
+
+
 def test_mix(spark):
     rows = awkward() + [(1000 + i, "t" * (i % 50), "en", "ab"[i % 2], i) for i in range(400)]
     got = mixing.mix(docs(spark, rows, clashes=True), {"a": 3, "b": 1}, block_bytes=300).collect()
@@ -134,12 +227,52 @@ def test_mix(spark):
 def test_weights_become_shares():
     assert mixing.whole_shares({"a": 0.5, "b": 0.25, "c": 1}) == {"a": 2, "b": 1, "c": 4}
     assert mixing.whole_shares({"a": 20, "b": 10}) == {"a": 2, "b": 1}
-    many = mixing.whole_shares({f"s{i}": 1 / (7 + i) for i in range(60)})
-    assert min(many.values()) >= 1 and abs(sum(many.values()) - mixing.MOST_SHARES) < 100
+    assert mixing.whole_shares({"a": 0.0004, "b": 1}) == {"a": 1, "b": 2500}
+    assert mixing.whole_shares({"a": Fraction(1, 7), "b": Fraction(1, 8)}) == {"a": 8, "b": 7}
     with pytest.raises(ValueError, match="weights"):
         mixing.whole_shares({"a": 0, "b": 1})
 
 
+def brute_slots(weights, blocks):
+    """Slot of every (source, block), one slot at a time: of the blocks released the one with the earliest deadline; all begins anew when a source has run out."""
+    left, done, out, slot = dict(blocks), dict.fromkeys(blocks, 0), {}, 0
+    while left := {s: n for s, n in left.items() if n}:
+        total, turn, t = sum(Fraction(str(weights[s])) for s in left), dict.fromkeys(left, 0), 0
+        share = {s: Fraction(str(weights[s])) / total for s in left}
+        while all(left.values()):
+            ready = [(ceil((turn[s] + 1) / share[s]), s) for s in left if floor(turn[s] / share[s]) <= t]
+            s = min(ready)[1]
+            out[s, done[s]] = slot
+            turn[s], done[s], left[s], t, slot = turn[s] + 1, done[s] + 1, left[s] - 1, t + 1, slot + 1
+    return out
+
+
+def test_mix_slots_match_brute_force_and_stay_within_a_block(spark):
+    weights = {"a": 2.5, "b": 1, "c": 0.75}
+    rows = [(i, "t" * (i * 37 % 91), "en", "aabacd"[i % 6], i) for i in range(900)]
+    got = mixing.mix(docs(spark, rows), weights, block_bytes=300).collect()
+    blocks = {}
+    for r in got:
+        blocks[r["origin"]] = max(blocks.get(r["origin"], 0), r["block"] + 1)
+    want = brute_slots(weights | {"d": 0.75}, blocks)
+    assert all(want[r["origin"], r["block"]] == r["slot"] for r in got) and len(blocks) == 4
+    plan = mixing.phases(mixing.whole_shares(weights), {"a": 1000, "b": 1000, "c": 1000})
+    at = sorted((start + x, s) for s, b0, _, start, total, slots in plan for x in slots if b0 == 0 and start == 0)
+    seen = Counter()
+    for t, (slot, s) in enumerate(at):
+        assert slot == t
+        seen[s] += 1
+        assert all(abs(seen[x] - Fraction(str(w)) / Fraction("4.25") * (t + 1)) < 1 for x, w in weights.items())
+
+
+def test_mix_spreads_rows_without_an_id_and_refuses_a_long_period(spark):
+    rows = [(None, f"text {i}", "en", "a", i) for i in range(9000)]
+    got = mixing.mix(docs(spark, rows), block_bytes=1000).collect()
+    assert len({r["start"] for r in got}) == 9000 and max(r["slot"] for r in got) > 50
+    with pytest.raises(ValueError, match="period"):
+        mixing.mix(docs(spark, [(1, "x", "en", "a", 1), (2, "y", "en", "b", 1)]), {"a": 1 / 7, "b": 1 / 9})
+
+
 def brute_ppm(train, order):
     """Counts in dictionaries, one symbol at a time."""
     seen = {}
@@ -345,5 +478,50 @@ def test_sparse_sites_shrink_to_their_hosts_rate(spark):
     assert abs(rate["q"][0] - rate["q"][1]) < 0.05
 
 
+def test_quality_posterior_matches_brute_force(spark):
+    rows = [(i, f"plain words number {i % 7} here and there" if i % 4 else f"BUY!! {i % 9} !! NOW", "pq"[i % 3 == 0], f"h{i % 3}", 1) for i in range(120)]
+    labels = {i: int(i % 4 > 0) if i % 10 else 1 - int(i % 4 > 0) for i in range(0, 120, 3)}
+    frame = spark.createDataFrame([(i, y) for i, y in labels.items()], "doc_id long, quality int")
+    got = {r["id"]: r for r in quality.judge(docs(spark, rows), frame).collect()}
+    mu = np.mean(list(labels.values()))
+    logit = lambda p: np.log(p / (1 - p))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    value = {i: labels.get(i, sigmoid(r["evidence"] + logit(mu))) for i, r in got.items()}
+
+    def strength(groups, means):
+        over = sum(len(g) * (np.mean(g) - m) ** 2 for g, m in zip(groups, means))
+        inside = max(over - sum(m * (1 - m) for m in means), 0) / sum(len(g) * m * (1 - m) for g, m in zip(groups, means))
+        return np.clip((1 - inside) / inside if inside else 1e6, 1, 1e6)
+
+    host, path = {}, {}
+    for i, r in got.items():
+        host.setdefault(r["host"], []).append(value[i])
+        path.setdefault((r["host"], r["path"]), []).append(value[i])
+    k = strength(list(host.values()), [mu] * len(host))
+    whole = {h: (sum(v) + k * mu) / (len(v) + k) for h, v in host.items()}
+    kp = strength(list(path.values()), [whole[h] for h, _ in path])
+    for i, r in got.items():
+        h, p = host[r["host"]], path[r["host"], r["path"]]
+        above = (sum(h) - value[i] + k * mu) / (len(h) - 1 + k)
+        own = (sum(p) - value[i] + kp * above) / (len(p) - 1 + kp)
+        assert np.allclose([r["host_rate"], r["path_rate"], r["posterior"]], [above, own, sigmoid(r["evidence"] + logit(own))], atol=1e-6)
+        assert r["kept"] == (r["posterior"] >= 0.5)
+
+
+def test_quality_on_labels_it_was_not_fitted_on(spark):
+    sf = "/root/testdata/sf0.01"
+    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    fitted = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id % 5 <> 0")
+    kept = {r["id"]: r["kept"] for r in quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), fitted).collect()}
+    held = [i for i in known if i % 5 == 0 and i in kept]
+    assert len(held) > 50 and sum(kept[i] != bool(known[i]) for i in held) <= 0.02 * len(held)
+
+
+def test_words_tell_texts_apart_where_shapes_do_not(spark):
+    rows = [(i, f"{'apple pear' if i % 2 else 'grape plum'} number {i % 5}", "en", "a", 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    assert {r["id"] for r in quality.judge(docs(spark, rows), labels).collect() if r["kept"]} == set(range(1, 200, 2))
+
+
 def test_host_pattern_is_plain():
     assert re.fullmatch("[^/?#]*", "a.b:80")
