@@ -9,8 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few dozen bytes that may be broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows that may be broadcast, and bytes of the files they stand in; larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -94,8 +94,9 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already materialised) marked for broadcast if it is counted to be within ``rows``, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")
+    """``df`` (already materialised) marked for broadcast if its files are small and it is counted to be within ``rows``, else left to a shuffled join."""
+    fits = scan_bytes(df) <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if fits else df.hint("shuffle_merge")
 
 
 def ascii_lower(text):
