@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sedimenta.llm.components import components
-from sedimenta.llm.storage import located, materialize, plain, restored, small
+from sedimenta.llm.storage import discard, located, materialize, plain, restored, small
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -45,6 +45,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     tails = [words[i:] for i in range(min(width, len(words)))]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(b" ".join(s), seed) for s in zip(*tails, strict=False)), dtype="<u8")
+    return _votes(hashes)
+
+
+def _votes(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -179,6 +184,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: Buckets in which shingles are counted to order them, rare ones first; a bound on what tasks are sent, not on what is compared.
 _SKETCH_BITS, _SKETCH_PARTS = 21, 32
+#: Members of another component a text is compared with in each round; in the last with all.
+_NEAREST = (4, 16, None)
 
 
 def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
@@ -246,10 +253,10 @@ def _may_be(n, at, other_n, other_at, least: float):
 
 
 def _postings(texts: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
-    """(key, node, n, at, prev, prev_n, prev_at) for each prefix shingle ``key`` that several of ``texts(text)`` hold.
+    """(key, node, n, at, bits, prev, prev_n, prev_at) for each prefix shingle ``key`` that several of ``texts(text)`` hold.
 
     ``n`` is the size of the set, ``at`` the shingle's place in its order,
-    ``prev`` the text before it under the key.
+    ``bits`` the set's fingerprint, ``prev`` the text before it under the key.
     """
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -264,23 +271,28 @@ def _postings(texts: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
                 names = np.array([set_name(x) for x in sets], dtype=np.int64)
                 places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 sizes = np.array([len(x) for x in sets])
+                bits = np.array([_votes(x) for x in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(names, many)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(places.astype(np.int32))],
-                    names=["key", "node", "n", "at"],
+                    [pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(names, many)), pa.array(np.repeat(sizes, many).astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(np.repeat(bits, many))],
+                    names=["key", "node", "n", "at", "bits"],
                 )
 
-    rows = texts.select("text").mapInArrow(run, "key long, node long, n int, at int")
+    rows = texts.select("text").mapInArrow(run, "key long, node long, n int, at int, bits long")
     order = W.partitionBy("key").orderBy("n", "node")
     beside = rows.select("*", *[F.lag(c).over(order).alias(f"prev{end}") for c, end in (("node", ""), ("n", "_n"), ("at", "_at"))], F.lead("node").over(order).alias("next"))
     return beside.where("prev is not null or next is not null").drop("next")
 
 
-def _across(postings: DataFrame, least: float) -> DataFrame:
-    """(a, b), a > b: all nodes of ``postings(key, node, n, at, component)`` that share a key, may be similar and are not yet in one component."""
+def _across(postings: DataFrame, least: float, nearest: int | None) -> DataFrame:
+    """(a, b), a > b: nodes of ``postings(key, node, n, at, bits, component)`` that share a key, may be similar and are not yet in one component.
+
+    All such pairs or, if ``nearest`` is given, under each key for a node only so
+    many of another component: those whose fingerprints are nearest to its own.
+    """
 
-    def pairs(node, n, at, component):
+    def pairs(node, n, at, bits, component):
         order = np.argsort(component, kind="stable")
-        node, n, at, component = node[order], n[order], at[order], component[order]
+        node, n, at, bits, component = node[order], n[order], at[order], bits[order], component[order]
         first = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
         if len(first) == 1:
             return
@@ -288,12 +300,15 @@ def _across(postings: DataFrame, least: float) -> DataFrame:
         many = np.diff(np.append(first, len(node)))
         by_size = np.argsort(many, kind="stable")
         order = np.concatenate([np.arange(first[i], first[i] + many[i]) for i in by_size])
-        node, n, at, ends = node[order], n[order], at[order], np.repeat(np.cumsum(many[by_size]), many[by_size])
+        node, n, at, bits, component, ends = node[order], n[order], at[order], bits[order], component[order], np.repeat(np.cumsum(many[by_size]), many[by_size])
         for i in range(len(node) - int(many[by_size[-1]])):
-            rest = slice(int(ends[i]), None)
-            good = node[rest][_may_be(n[i], at[i], n[rest], at[rest], least)]
+            rest = int(ends[i])
+            good = np.flatnonzero(_may_be(n[i], at[i], n[rest:], at[rest:], least)) + rest
+            if nearest and len(good) > 1:
+                good = good[np.lexsort((np.bitwise_count(bits[good].view(np.uint64) ^ bits[i].view(np.uint64)), component[good]))]
+                good = good[np.arange(len(good)) - np.searchsorted(component[good], component[good]) < nearest]
             if len(good):
-                yield np.maximum(good, node[i]), np.minimum(good, node[i])
+                yield np.maximum(node[good], node[i]), np.minimum(node[good], node[i])
 
     def run(batches):
         now, held = None, []
@@ -310,7 +325,7 @@ def _across(postings: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            key, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "at", "component"))
+            key, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "at", "bits", "component"))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
             for x, y in zip(starts, [*starts[1:], len(key)], strict=True):
                 if key[x] != now:
@@ -322,7 +337,7 @@ def _across(postings: DataFrame, least: float) -> DataFrame:
     mixed = postings.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     # Dealt again, as a skewed join may split a key over tasks.
     listed = postings.join(mixed.hint("shuffle_merge"), "key").repartition("key").sortWithinPartitions("key")
-    return listed.select("key", "node", "n", "at", "component").mapInArrow(run, "a long, b long").distinct()
+    return listed.select("key", "node", "n", "at", "bits", "component").mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -345,8 +360,10 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
     Texts are similar if their sets of five-word shingles are. Of two such sets
     the rarest fifth of either shares a shingle (prefix filter), so every pair
     is met. First each text is compared with the one before it under such a
-    shingle, which gathers large groups by few comparisons; then all that still
-    are in different components. Either is verified on the whole sets.
+    shingle, which gathers large groups by few comparisons; then, twice, with
+    the few texts of each other component that look nearest, so that what strayed from a large group
+    joins it without meeting all its members; then all that still are in
+    different components are compared. Each is verified on the whole sets.
     """
 
     def prints(batches):
@@ -387,10 +404,15 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
     pairs = materialize(beside.select(F.greatest("node", "prev").alias("a"), F.least("node", "prev").alias("b")).distinct(), "simhash-pairs")
     links = materialize(by_bits.unionByName(same).unionByName(verified(pairs)), "simhash-links")
     linked = components(links)
-    grouped = postings.join(linked.hint("shuffle_merge"), "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    apart = materialize(_across(materialize(grouped, "simhash-grouped"), least).join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "simhash-apart")
-    more = materialize(verified(apart), "simhash-more")
-    linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)).hint("shuffle_merge")
+    for nearest in _NEAREST:
+        grouped = postings.join(linked.hint("shuffle_merge"), "node", "left").select("key", "node", "n", "at", "bits", F.coalesce("component", "node").alias("component"))
+        grouped = materialize(grouped, "simhash-grouped")
+        apart = materialize(_across(grouped, least, nearest).join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "simhash-apart")
+        discard(grouped)
+        more = materialize(verified(apart), "simhash-more")
+        pairs = pairs.unionByName(apart)
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    linked = linked.hint("shuffle_merge")
 
     roots = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "simhash-roots")
     rows = materialize(seen.join(roots.hint("shuffle_merge"), "node").select("__id", "__file", "__row", "root"), "simhash-rows")
