@@ -1,15 +1,17 @@
 """Scoring documents by the code length of a model of partial matching, beside a word-frequency base.
 
 Three passes. The first counts, by chunk of documents, byte contexts and words;
-both leave a task already summed, as sorted blocks dealt to shards, with a count
-of zero for what is asked only. The shards add up words, whose counts go back to
-the chunks that asked, and contexts, of which each shard makes the model of its
-own and sends the probabilities back likewise; nothing is left out and no task
-holds the whole model. The last pass reads a chunk's answers, then its documents.
+both leave a task already summed, as sorted, compressed blocks dealt to shards,
+with a count of zero for what is asked only. The shards add up what was learnt;
+then each reads its sums, words or a model of its own contexts, and answers the
+blocks one by one, so neither the whole model nor all blocks of a shard are ever
+in one task. The last pass reads a chunk's answers, then its documents. Texts
+longer than ``SLICE_BYTES`` are counted and scored in parts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from itertools import groupby, repeat
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm import ppm
-from sedimenta.llm.storage import located, materialize
+from sedimenta.llm.storage import located, materialize, scan_bytes
 
 #: Documents of a file that ask for word counts together.
 CHUNK_ROWS = 2048
@@ -30,6 +32,9 @@ CHUNK_ROWS = 2048
 TASK_GRAMS = 1_000_000
 #: Bytes of text taken at once.
 SLICE_BYTES = 1 << 20
+#: Shards at least, and bytes of input (as Spark estimates the scan) for each of more.
+SHARDS, SHARD_BYTES = 64, 64 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SCHEMA = "kind string, shard int, chunk long, words binary, counts binary"
 _NAMES = ["kind", "shard", "chunk", "words", "counts"]
 
@@ -67,8 +72,9 @@ class _Grams:
         self.keys, self.counts, self.loose = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
 
     def add(self, texts: list[bytes], times: int = 1) -> None:
-        keys, counts = ppm.summed(ppm.grams(ppm.joined(texts)[0])[1])
-        self.merge(keys, counts * times)
+        for _, data, _ in ppm.windows(texts, SLICE_BYTES):
+            keys, counts = ppm.summed(ppm.grams(data)[1])
+            self.merge(keys, counts * times)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.loose.append((keys, counts))
@@ -90,15 +96,28 @@ class _Grams:
         self.keys, self.counts = self.keys[:0], self.counts[:0]
 
 
+def _words(text: bytes):
+    """The words of a text, a bounded part of it at a time, cut at white space."""
+    if len(text) <= SLICE_BYTES:
+        yield text.split()
+        return
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE_BYTES)
+        end = space.end() if space else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def _word_rows(chunk: int, seen: Counter, shards: int):
-    """A chunk's words, dealt to shards: those it trains with their counts, those it only asks for with none."""
+    """A chunk's words, sorted and dealt to shards: those it trains with their counts, those it only asks for with none."""
     dealt: dict[int, list[bytes]] = {}
     digest = xxhash.xxh32_intdigest
-    for word in seen:
+    for word in sorted(seen):
         dealt.setdefault(digest(word) % shards, []).append(word)
     for shard, words in dealt.items():
         counts = np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
-        yield ("word", shard, chunk, b" ".join(words), counts.tobytes())
+        yield ("word", shard, chunk, zlib.compress(b" ".join(words), 1), _packed(counts))
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -124,9 +143,9 @@ def _collected(docs: DataFrame, shards: int) -> DataFrame:
                         now, seen = chunk, Counter()
                     learnt, asked = [], []
                     for _, text, out in own:
-                        words = text.split()
                         (asked if out else learnt).append(text)
-                        seen.update(dict.fromkeys(words, 0) if out else words)
+                        for words in _words(text):
+                            seen.update(dict.fromkeys(words, 0) if out else words)
                     if learnt:
                         grams.add(learnt)
                     if asked:
@@ -141,22 +160,45 @@ def _collected(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("chunk", "held", "text").mapInArrow(run, _SCHEMA)
 
 
-def _add_words(blocks: pa.Table) -> pa.Table:
-    """Every asked word's count over all chunks, in the order it was asked; and a row (chunk null) of the shard's token and word numbers."""
-    total: dict[bytes, int] = {}
-    asked = [(c, w.split(b" "), np.frombuffer(n, dtype=np.int64)) for c, w, n in zip(blocks["chunk"].to_pylist(), blocks["words"].to_pylist(), blocks["counts"].to_pylist(), strict=True)]
-    for _, words, counts in asked:
-        for word, n in zip(words, counts.tolist(), strict=True):
-            total[word] = total.get(word, 0) + n
-    sums = np.fromiter(total.values(), dtype=np.int64, count=len(total))
-    chunks = [c for c, _, _ in asked] + [None]
-    words = [b" ".join(w) for _, w, _ in asked] + [b""]
-    counts = [np.fromiter(map(total.__getitem__, w), dtype=np.int64, count=len(w)).tobytes() for _, w, _ in asked]
-    counts.append(b"")
-    none = [None] * len(asked)
-    tokens, different = [*none, int(sums.sum())], [*none, int((sums > 0).sum())]
-    kinds = (("chunk", chunks, pa.int64()), ("words", words, pa.binary()), ("counts", counts, pa.binary()), ("tokens", tokens, pa.int64()), ("different", different, pa.int64()))
-    return pa.table({name: pa.array(values, type=kind) for name, values, kind in kinds})
+def _by_shard(batches, names):
+    """(shard, its rows one by one as tuples of ``names``) of batches sorted by shard."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("shard", *names)), strict=True))
+    return groupby(rows, key=lambda r: r[0])
+
+
+def _add_words(batches):
+    """A shard's learnt words with their counts, and how many tokens and words these are; what is held is the different words."""
+    schema = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("different", pa.int64())])
+    for shard, rows in _by_shard(batches, ("words", "counts")):
+        total: Counter = Counter()
+        for _, words, counts in rows:
+            for word, n in zip(zlib.decompress(words).split(b" "), _unpacked(counts, np.int64).tolist(), strict=True):
+                if n:
+                    total[word] += n
+        if total:
+            sums = np.fromiter(total.values(), dtype=np.int64, count=len(total))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "words": zlib.compress(b" ".join(total), 1), "counts": _packed(sums), "tokens": int(sums.sum()), "different": len(sums)}], schema=schema)
+
+
+def _word_answers(blocks: DataFrame, learnt: DataFrame, shards: int) -> DataFrame:
+    """(chunk, words, counts): the words of each block and how often each was learnt."""
+    schema = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches):
+        for _, rows in _by_shard(batches, ("chunk", "words", "counts")):
+            total = {}
+            for _, chunk, packed, counts in rows:
+                words = zlib.decompress(packed).split(b" ")
+                if chunk is None:
+                    total = dict(zip(words, _unpacked(counts, np.int64).tolist(), strict=True))
+                    continue
+                counts = np.fromiter(map(total.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "words": packed, "counts": _packed(counts)}], schema=schema)
+
+    told = learnt.select("shard", F.lit(0).alias("ord"), F.lit(None).cast("long").alias("chunk"), "words", "counts")
+    asked = blocks.where("kind = 'word'").select("shard", F.lit(1).alias("ord"), "chunk", "words", F.lit(None).cast("binary").alias("counts"))
+    dealt = told.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "ord")
+    return dealt.mapInArrow(run, "chunk long, words binary, counts binary")
 
 
 def _add_grams(batches):
@@ -165,13 +207,11 @@ def _add_grams(batches):
     Orders 0 and 1 are parts that the driver adds up; they are few.
     """
     schema = pa.schema([("shard", pa.int32()), ("ord", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-    held: dict[int, _Grams] = {}
-    for batch in batches:
-        for shard, keys, counts in zip(batch.column("shard").to_pylist(), batch.column("words"), batch.column("counts"), strict=True):
-            keys, counts = _unpacked(keys.as_py(), np.uint64), _unpacked(counts.as_py(), np.int64)
-            held.setdefault(shard, _Grams()).merge(keys[counts > 0], counts[counts > 0])
-    for shard in sorted(held):
-        own = held.pop(shard)
+    for shard, rows in _by_shard(batches, ("words", "counts")):
+        own = _Grams()
+        for _, keys, counts in rows:
+            keys, counts = _unpacked(keys, np.uint64), _unpacked(counts, np.int64)
+            own.merge(keys[counts > 0], counts[counts > 0])
         own.fold()
         for j, (k, c, _) in enumerate(ppm.by_order(own.keys, own.counts)):
             yield pa.RecordBatch.from_pylist([{"shard": shard, "ord": j, "keys": _packed(k), "counts": _packed(c)}], schema=schema)
@@ -181,7 +221,7 @@ def _gram_answers(blocks: DataFrame, shards: int) -> DataFrame:
     """(chunk, words, counts): the grams of each block and their log probabilities as floats, by the model of all that was learnt."""
     spark = blocks.sparkSession
     own = blocks.where("kind = 'gram'")
-    learnt = materialize(own.repartition(shards, "shard").mapInArrow(_add_grams, "shard int, ord int, keys binary, counts binary"), "lm-grams")
+    learnt = materialize(own.select("shard", "words", "counts").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_add_grams, "shard int, ord int, keys binary, counts binary"), "lm-grams")
     few = ppm.summed(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     for r in learnt.where("ord = 1").toLocalIterator():  # a gram of order 1 may be in several shards
         few = ppm.summed(np.concatenate([few[0], _unpacked(r["keys"], np.uint64)]), np.concatenate([few[1], _unpacked(r["counts"], np.int64)]))
@@ -224,10 +264,11 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
     spark = docs.sparkSession
     placed = located(docs.select(F.col(id_col).alias("id"), F.coalesce(F.expr(held) if held else F.lit(False), F.lit(False)).alias("held"), F.col(text_col).alias("text")))
     rows = placed.select("id", "held", "text", F.xxhash64("__file", F.floor(F.col("__row") / chunk_rows)).alias("chunk"))
-    shards = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(SHARDS, scan_bytes(placed) // SHARD_BYTES)
     blocks = materialize(_collected(rows, shards), "lm-blocks")
-    answers = materialize(blocks.where("kind = 'word'").groupBy("shard").applyInArrow(_add_words, "chunk long, words binary, counts binary, tokens long, different long"), "lm-words")
-    sums = answers.agg(F.sum("tokens"), F.sum("different")).first()
+    said = blocks.where("kind = 'word'").select("shard", "words", "counts").repartition(shards, "shard").sortWithinPartitions("shard")
+    learnt = materialize(said.mapInArrow(_add_words, "shard int, words binary, counts binary, tokens long, different long"), "lm-words")
+    sums = learnt.agg(F.sum("tokens"), F.sum("different")).first()
     trained = rows.where("not held").count()
     known, different = (sums[0] or 0) + trained, (sums[1] or 0) + (trained > 0)
     whole = log10(known + 0.5 * (different + 1))
@@ -235,7 +276,7 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
 
     kind = rows.schema["id"].dataType.simpleString()
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", kind), ("held", "boolean"), ("text", "string"))]
-    asked = answers.where("chunk is not null").select("chunk", F.lit(0).alias("turn"), *nothing, "words", "counts")
+    asked = _word_answers(blocks, learnt, shards).select("chunk", F.lit(0).alias("turn"), *nothing, "words", "counts")
     scored = _gram_answers(blocks, shards).select("chunk", F.lit(1).alias("turn"), *nothing, "words", "counts")
     told = rows.select("chunk", F.lit(2).alias("turn"), "id", "held", "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
     dealt = asked.unionByName(scored).unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "turn")
@@ -250,9 +291,11 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
                 keys, values = (np.concatenate(x) for x in zip(*blocks, strict=True))
                 order = np.argsort(keys, kind="stable")
                 blocks, table = [], (keys[order], values[order])
-            data, starts = ppm.joined(texts)
-            at, keys = ppm.grams(data)
-            return np.add.reduceat(table[1][np.searchsorted(table[0], keys)].astype(np.float64), np.searchsorted(at, starts)).tolist()
+            out = np.zeros(len(texts))
+            for first, data, starts in ppm.windows(texts, SLICE_BYTES):
+                at, keys = ppm.grams(data)
+                out[first : first + len(starts)] += np.add.reduceat(table[1][np.searchsorted(table[0], keys)].astype(np.float64), np.searchsorted(at, starts))
+            return out.tolist()
 
         for batch in batches:
             for part in _slices(batch):
@@ -264,21 +307,23 @@ def score(docs: DataFrame, held: str | None = None, id_col: str = "doc_id", text
                             scores, texts = scores + settle(texts), []
                         now, count, blocks, table = c, {}, [], None
                     if t == 0:
-                        words = part.column("words")[i].as_py().split(b" ")
-                        count.update(zip(words, np.frombuffer(part.column("counts")[i].as_py(), dtype=np.int64).tolist(), strict=True))
+                        words = zlib.decompress(part.column("words")[i].as_py()).split(b" ")
+                        count.update(zip(words, _unpacked(part.column("counts")[i].as_py(), np.int64).tolist(), strict=True))
                         continue
                     if t == 1:
                         blocks.append((_unpacked(part.column("words")[i].as_py(), np.uint64), _unpacked(part.column("counts")[i].as_py(), np.float32)))
                         continue
                     text = part.column("text")[i]
                     text = (text.as_buffer().to_pybytes() if text.is_valid else b"").lower()
-                    words = text.split()
-                    seen = np.fromiter(map(count.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                    many, met, sum_of = 1, int(trained > 0), end
+                    for words in _words(text):
+                        seen = np.fromiter(map(count.get, words, repeat(0)), dtype=np.int64, count=len(words))
+                        many, met, sum_of = many + len(words), met + int((seen > 0).sum()), sum_of + float(logs(seen + 0.5).sum())
                     kept.append(i)
                     texts.append(text)
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(int((seen > 0).sum()) + (trained > 0))
-                    base.append(float(logs(seen + 0.5).sum()) + end - (len(words) + 1) * whole)
+                    n_tokens.append(many)
+                    n_known.append(met)
+                    base.append(sum_of - many * whole)
                 if not kept:
                     continue
                 if texts:
