@@ -232,15 +232,15 @@ def format_bytes(n: float) -> str:
         return "0 B"
     if n < 1024:
         return f"{n:.0f} B"
-    for unit in ("KB", "MB", "GB", "TB", "PB"):
+    for unit in ("KB", "MB", "GB", "TB"):
         n /= 1024
-        if n < 1024 or unit == "PB":
+        if n < 1024 or unit == "TB":
             return f"{n:.0f} {unit}" if n >= 100 else f"{n:.1f} {unit}" if n >= 10 else f"{n:.2f} {unit}"
     raise AssertionError
 
 
 def describe_difference(shape: dict) -> str:
-    first = format_bytes(shape["first"])
+    first = f"byte {shape['first']}"
     return {
         "same": "the contents are equal",
         "bitflip": f"{shape['bits']} flipped bit(s) at {first}",

@@ -129,7 +129,7 @@ def fmt_time(seconds) -> Column:
     return F.coalesce(F.date_format(F.timestamp_seconds(col(seconds)), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
 
 
-_UNITS = ("KB", "MB", "GB", "TB", "PB")
+_UNITS = ("KB", "MB", "GB", "TB")
 
 
 def _fixed(v: Column, places: int, unit: str) -> Column:

@@ -27,6 +27,7 @@ VERDICT_LABELS = {"corrupt": "Corrupted", "intact": "Intact", "unknown": "Undete
 
 # Tools in the order in which they run, the folder each moves to, and CSV headers.
 TOOLS = ("empty_folders", "empty_files", "temp_files", "duplicates", "corrupted_files")
+READ_ONLY_TOOLS = ("corrupted_files",)
 TOOL_FOLDERS = {"duplicates": "Duplicates", "empty_folders": "Empty Folders", "empty_files": "Empty Files", "temp_files": "Temporary Files"}
 CSV_DUPLICATES = ("Group", "Hash", "Name", "Location", "Size (bytes)", "Modified", "Created", "Captured", "Hard Links")
 CSV_CONFLICTS = ("Set", "Name", "Location", "Size (bytes)", "Modified", "Content Hash", "Status", "Evidence")
@@ -43,6 +44,7 @@ class Limits:
     duplicate_rows: int = 100_000
     group_rows: int = 100_000
     flat_rows: int = 20_000
+    empty_folder_rows: int = 20_000
     conflict_rows: int = 20_000
     skewed_family: int = 25_000
     skew_sample: int = 500

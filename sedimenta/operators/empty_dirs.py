@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sedimenta.functions.scalars import ancestors, any_of, is_junk, parent_of
+from sedimenta.limits import LIMITS, Limits
+from sedimenta.operators.ranking import ranked
 
 
 def content_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
@@ -41,6 +43,11 @@ def with_junk(tops: DataFrame, files: DataFrame, examples: int = 3) -> DataFrame
     return joined.select("path", F.coalesce("junk", F.lit(0)).cast("long").alias("junk"), F.coalesce("junk_bytes", F.lit(0)).cast("long").alias("junk_bytes"), F.coalesce("names", F.array().cast("array<string>")).alias("junk_examples"))
 
 
+def stored(tops: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """The first folders by path, numbered ``pos``."""
+    return ranked(tops, [F.col("path")], limits.empty_folder_rows, "pos")
+
+
 def without_references(tops: DataFrame, refs: list[str]) -> DataFrame:
     """Leaves out folders that hold a reference folder."""
     return tops.where(~any_of([F.lit(r).startswith(F.concat("path", F.lit("/"))) for r in refs]))

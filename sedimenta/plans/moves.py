@@ -7,11 +7,11 @@ of folders needs no nested loop.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.scalars import allowed_path, ancestors, cannot_address, data_key, fmt_bytes_short, in_batch_layout, under_any, volume_of
+from sedimenta.limits import READ_ONLY_TOOLS
 
 TIERS = ("original_there", "there", "original", "any")
 
@@ -81,7 +81,8 @@ def refusals(rows: DataFrame, volumes: list[str], refs: list[str], self_mounts:
     """path, action, reason: the first rule that speaks against moving a row, in fixed order.
 
     ``rows`` may have held_stale, held_out, dropped, holds_held, listed and
-    junk_now; what is missing speaks against nothing.
+    junk_now; what is missing speaks against nothing. A tool of
+    ``READ_ONLY_TOOLS`` only reports: all its rows are refused.
     """
 
     def flag(name: str, default: bool = False) -> Column:
@@ -91,7 +92,8 @@ def refusals(rows: DataFrame, volumes: list[str], refs: list[str], self_mounts:
     for r in refs:
         holds_ref = holds_ref | F.lit(r).startswith(F.concat("path", F.lit("/")))
     reason = (
-        F.when(under_any("path", list(self_mounts)) if self_mounts else F.lit(False), "self-mount")
+        F.when(F.lit(tool in READ_ONLY_TOOLS), "read-only tool")
+        .when(under_any("path", list(self_mounts)) if self_mounts else F.lit(False), "self-mount")
         .when(~allowed_path("path", volumes), "outside")
         .when(flag("held_stale"), "stale copy held")
         .when(flag("held_out"), "moved copy held")
@@ -179,22 +181,11 @@ def stale_selection(scanned_at: str, stored: str) -> bool:
 def replay(journal: DataFrame) -> DataFrame:
     """batch, path, outcome of journal lines (batch, seq, tag, path, to_path): moved, gone or unsettled.
 
-    A file's lines are folded in order: ``begin`` opens it, ``placed`` and
-    ``done`` settle it as moved, ``gone`` as gone, ``failed`` takes it back; a file
-    that is left open is unsettled.
+    Of a file's lines the last that speaks of its state counts: ``begin`` leaves
+    it unsettled, ``placed`` and ``done`` settle it as moved, ``gone`` as gone, and
+    ``failed`` takes it back, so it is not returned.
     """
-
-    def fold(lines: pd.DataFrame) -> pd.DataFrame:
-        state: dict[str, str] = {}
-        for tag, path in lines.sort_values("seq")[["tag", "path"]].itertuples(index=False):
-            if tag == "begin":
-                state[path] = "unsettled"
-            elif tag in ("placed", "done"):
-                state[path] = "moved"
-            elif tag == "gone":
-                state[path] = "gone"
-            elif tag == "failed":
-                state.pop(path, None)
-        return pd.DataFrame({"batch": [lines["batch"].iloc[0]] * len(state), "path": list(state), "outcome": list(state.values())}, dtype=object)
-
-    return journal.select("batch", "seq", "tag", "path").groupBy("batch").applyInPandas(fold, "batch string, path string, outcome string")
+    said = journal.where(F.col("tag").isin("begin", "placed", "done", "gone", "failed"))
+    last = said.groupBy("batch", "path").agg(F.max_by("tag", "seq").alias("tag")).where("tag <> 'failed'")
+    outcome = F.when(F.col("tag") == "begin", "unsettled").when(F.col("tag") == "gone", "gone").otherwise("moved")
+    return last.select("batch", "path", outcome.alias("outcome"))

@@ -636,11 +636,11 @@ def plan_keep_one(spark, sf_dir):
     return moves.keep_one(rows)
 
 
-@query("plan_content_check", MEM + " SELECT rank, path, doc_id % 9 <> 0 AS vouched FROM mem WHERE rank <= 10")
+@query("plan_content_check", MEM + " SELECT rank, path, doc_id % 9 <> 0 AS vouched FROM mem")
 def plan_content_check(spark, sf_dir):
     rows = _members(spark, sf_dir)
     fresh = rows.where("doc_id % 9 <> 0").select("path", "hash")
-    return moves.content_vouched(_groups(spark, sf_dir).where("rank <= 10"), rows, fresh)
+    return moves.content_vouched(_groups(spark, sf_dir), rows, fresh)
 
 
 @query(
@@ -775,33 +775,41 @@ def event_sessions(spark, sf_dir):
 
 # ---- content: differences, verdicts, containers, names, journals, streams ----
 
-#: Documents and a damaged copy: the last half zeroed, or (every third document) one bit flipped.
-COPIES = """d AS (SELECT doc_id, encode(text) AS a, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) >= 2048)"""
+#: Documents and a damaged copy: the last half zeroed, or (every third document) the last bit flipped.
+COPIES = """d AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 'same' WHEN doc_id % 3 = 0 THEN 'flip' WHEN n - n // 2 >= 512 THEN 'tail'
+        WHEN n - n // 2 <= 8 AND bit_count(('0x' || hex(a)[2 * (n // 2) + 1:])::UBIGINT) <= 2 THEN 'few' ELSE 'mixed' END AS how
+    FROM (SELECT doc_id, encode(coalesce(text, '')) AS a, octet_length(encode(coalesce(text, ''))) AS n FROM documents))"""
 
 
 def _copies(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("octet_length(text) >= 2048")
-    a = F.col("text").cast("binary")
-    half = F.expr("cast(octet_length(text) div 2 as int)")
-    zeroed = F.concat(F.substring(a, F.lit(1), half), F.unhex(F.repeat(F.lit("00"), F.octet_length("text") - half)))
-    flipped = F.concat(F.unhex(F.lpad(F.hex(F.ascii("text").bitwiseXOR(1)), 2, "0")), F.substring(a, F.lit(2), F.octet_length("text")))
-    plain = F.ascii("text") < 128
-    return docs.where(plain).select("doc_id", a.alias("a"), F.when(F.col("doc_id") % 3 == 0, flipped).otherwise(zeroed).alias("b"))
+    a = F.coalesce("text", F.lit("")).cast("binary")
+    n = F.octet_length("a")
+    half = F.expr("cast(octet_length(a) div 2 as int)")
+    zeroed = F.concat(F.substring("a", F.lit(1), half), F.unhex(F.repeat(F.lit("00"), n - half)))
+    last = F.conv(F.hex(F.substring("a", n, F.lit(1))), 16, 10).cast("int").bitwiseXOR(1)
+    flipped = F.concat(F.substring("a", F.lit(1), n - 1), F.unhex(F.lpad(F.hex(last), 2, "0")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", a.alias("a"))
+    return docs.select("doc_id", "a", F.when(n == 0, F.col("a")).when(F.col("doc_id") % 3 == 0, flipped).otherwise(zeroed).alias("b"))
 
 
-@query("diff_shape", "WITH " + COPIES + " SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bitflip' ELSE 'tail' END AS kind, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'b' END AS side, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n // 2 END AS first, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n - n // 2 END AS bytes FROM d WHERE ascii(decode(a)) < 128")
+@query(
+    "diff_shape",
+    "WITH " + COPIES + """ SELECT doc_id, CASE how WHEN 'flip' THEN 'bitflip' WHEN 'few' THEN 'bitflip' ELSE how END AS kind, CASE how WHEN 'tail' THEN 'b' ELSE '' END AS side,
+    CASE how WHEN 'same' THEN -1 WHEN 'flip' THEN n - 1 ELSE n // 2 END AS first, CASE how WHEN 'same' THEN 0 WHEN 'flip' THEN 1 ELSE n - n // 2 END AS bytes FROM d""",
+)
 def diff_shape(spark, sf_dir):
     shape = compare_content("a", "b")
     return _copies(spark, sf_dir).select("doc_id", shape.alias("s")).select("doc_id", "s.kind", "s.side", "s.first", "s.bytes")
 
 
+# An empty file is in no set of conflicts.
 @query(
     "verdicts",
-    "WITH " + COPIES + """ SELECT doc_id AS rank, unnest(['/original', '/copy']) AS path, unnest(['unknown', CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'corrupt' END]) AS verdict,
-    unnest(['Undetermined', CASE WHEN doc_id % 3 = 0 THEN 'Undetermined' ELSE 'Corrupted' END]) AS label FROM d WHERE ascii(decode(a)) < 128""",
+    "WITH " + COPIES + """ SELECT doc_id AS rank, unnest(['/original', '/copy']) AS path, unnest(['unknown', CASE how WHEN 'tail' THEN 'corrupt' ELSE 'unknown' END]) AS verdict,
+    unnest(['Undetermined', CASE how WHEN 'tail' THEN 'Corrupted' ELSE 'Undetermined' END]) AS label FROM d WHERE n > 0""",
 )
 def verdicts(spark, sf_dir):
-    pairs = _copies(spark, sf_dir)
+    pairs = _copies(spark, sf_dir).where(F.octet_length("a") > 0)
     rows = pairs.select(F.col("doc_id").alias("rank"), F.explode(F.array(F.struct(F.lit("/original").alias("path"), F.col("a").alias("content")), F.struct(F.lit("/copy").alias("path"), F.col("b").alias("content")))).alias("m")).select("rank", "m.*")
     known = rows.withColumns({"hash": F.sha2("content", 256), "read_error": F.lit(""), "prior_hash": F.lit("")})
     return conflicts.verdicts(known).select("rank", "path", "verdict", "label")

@@ -83,11 +83,11 @@ def clear_marker(spark: SparkSession, root: str) -> None:
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
-    """folder, path, name, size, mtime of everything that mark records say was moved; ill-formed names and oversized files are passed over."""
+    """folder, path, name, size, mtime of what mark records say was moved, the first ``MARK_ENTRIES`` by path; ill-formed names and oversized files are passed over."""
     marks = spark.read.schema(MARK_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     fit = marks.where(F.col("_metadata.file_size") <= MARK_FILE_BYTES)
     rows = fit.select("folder", F.explode("moved").alias("m")).select("folder", "m.*").where(mark_name_ok("name"))
-    return rows.limit(MARK_ENTRIES).withColumn("path", F.concat("folder", F.lit("/"), "name"))
+    return rows.withColumn("path", F.concat("folder", F.lit("/"), "name")).orderBy("path", *rows.columns).limit(MARK_ENTRIES)
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

@@ -68,14 +68,14 @@ def test_page_trim_is_sequential(spark):
 @pytest.mark.parametrize(
     ("q", "hit"),
     [
-        ({}, True), ({"q": "img_"}, True), ({"q": "IMG_0002"}, False), ({"q": " backups "}, True), ({"loc": "/volume1/Backups"}, True), ({"loc": "/volume1/Backups/"}, True),
-        ({"loc": "/volume1/Back"}, False), ({"ftype": "pic"}, True), ({"ftype": "video"}, False), ({"ftype": "nothing"}, False), ({"ftype": "ext", "ext": ".jpg"}, True),
+        ({}, True), ({"q": "shore"}, True), ({"q": "SHORE-18"}, False), ({"q": " archive "}, True), ({"loc": "/volume1/Archive"}, True), ({"loc": "/volume1/Archive/"}, True),
+        ({"loc": "/volume1/Arch"}, False), ({"ftype": "pic"}, True), ({"ftype": "video"}, False), ({"ftype": "nothing"}, False), ({"ftype": "ext", "ext": ".jpg"}, True),
         ({"ftype": "ext"}, True), ({"ftype": "dir"}, False), ({"size_op": "eq", "size_mb": 5}, True), ({"size_op": "gt", "size_mb": 5}, False), ({"size_op": "lt", "size_mb": 6}, True),
         ({"date_by": "modified", "date_from": "2024-01-01", "date_to": "2024-01-01"}, True), ({"date_by": "created", "date_from": "2000-01-01"}, False), ({"date_by": "created"}, True),
     ],
 )
 def test_search(spark, q, hit):
-    ent = entries(spark, [("/volume1/Backups/Ashwin/IMG_0001.JPG", 5 << 20, "h", {"mod_unix": 1704150000})])
+    ent = entries(spark, [("/volume1/Archive/trips/shore-17.JPG", 5 << 20, "h", {"mod_unix": 1704150000})])
     assert results.search_rows(ent, results.Query(**q)).count() == hit
 
 
