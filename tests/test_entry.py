@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 REPO = Path(__file__).resolve().parents[1]
 
 
@@ -16,9 +18,12 @@ def run(code: str, cwd: Path, path: str = "") -> str:
     return done.stdout.strip().splitlines()[-1]
 
 
-def test_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_llm_folders(tmp_path, pipeline):
     shutil.copytree(REPO / "sedimenta", tmp_path / "sedimenta", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    if pipeline:
+        shutil.copy(REPO / "corpus_pipeline.py", tmp_path)
     assert int(run("import __spark_entry__ as e; print(len(e.queries()))", tmp_path)) > 90
 
 

@@ -206,6 +206,16 @@ def test_scalars(spark):
     assert [one(S.may_be_renamed(lit(n))) for n in ("ok", "a:b", "dot.", "tab\t")] == [False, True, True, True]
 
 
+def test_read_only_tools_move_nothing_and_scans_leave_moved_copies_out(spark):
+    ent = entries(spark, [("/volume1/a/x.tmp", 0, "h"), ("/volume1/a/y.tmp", 0, "h"), ("/volume1/a/z.txt", 3, "z")])
+    assert {(r["action"], r["reason"]) for r in moves.refusals(ent, ["/volume1"], [], tool="corrupted_files").collect()} == {("refuse", "read-only tool")}
+    moved = spark.createDataFrame([("path", "/volume1/a/x.tmp"), ("path", "/volume1/b")], "kind string, key string")
+    folders = dirs(spark, ["/volume1", "/volume1/a", "/volume1/b", "/volume1/c", "/volume1/d"])
+    out = scan(ent, folders, Request(limits=dataclasses.replace(LIMITS, empty_folder_rows=1)), moved)
+    found = lambda tool: [r["path"] for r in out[tool].collect()]
+    assert found("empty_files") == found("temp_files") == ["/volume1/a/y.tmp"] and found("empty_folders") == ["/volume1/c"]
+
+
 def test_scan_runs_every_tool(spark):
     ent = entries(spark, [("/volume1/a/x", 5, "h"), ("/volume1/a/y", 5, "h"), ("/volume1/b/z.tmp", 0, "e"), ("/volume1/c/q", 5, "other")])
     out = scan(ent, dirs(spark, ["/volume1", "/volume1/a", "/volume1/b", "/volume1/c"]), Request())
