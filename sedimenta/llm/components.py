@@ -24,17 +24,24 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one link and is no smaller end of another."""
+    ends = edges.groupBy(F.col("a").alias("x")).agg(F.count(F.lit(1)).alias("up")).withColumn("down", F.lit(0)).unionByName(edges.select(F.col("b").alias("x")).distinct().withColumns({"up": F.lit(0).cast("long"), "down": F.lit(1)}))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of ``edges(a, b)`` the least node it is linked to, directly or not.
 
     Nodes are of any ordered type. Links with a null end and loops say
     nothing; repeated links count once; no links give no rows. A node that is
     in no link is not returned: it is its own component. Each round writes
-    the remaining stars to the shared folder and drops the round before.
+    the remaining links to the shared folder and drops the round before; the
+    links are done when they are stars, whose centres are their least nodes.
     """
     spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    schema, last, mark = edges.schema, None, None
+    schema, last = edges.schema, None
     while True:
         path = fresh_dir(spark, "components")
         edges.write.parquet(path)
@@ -42,9 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         if last:
             drop_dir(spark, last)
         last = path
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
+        if _are_stars(edges):
             roots = edges.select("b").distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
-        mark = now
         edges = _stars(_stars(edges, True), False)

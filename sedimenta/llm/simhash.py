@@ -354,6 +354,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` once ``links(a, b)`` join their groups; only names of groups that are linked are compared."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("x")).hint("shuffle_merge")
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("y")).hint("shuffle_merge")
+    between = links.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    named = materialize(components(between), "simhash-joined")
+    moved = small(named.select(F.col("node").alias("root"), "component"))
+    return materialize(roots.join(moved, "root", "left").select("node", F.coalesce("component", "root").alias("root")), "simhash-roots")
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     """(root, component_id, __id, __file, __row) for each row of :func:`located` ``docs``, linked as in :func:`near_groups` or by similar texts.
 
@@ -403,18 +413,18 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, width: int, leas
     beside = postings.where(F.col("prev").isNotNull() & _may_be(F.col("n"), F.col("at"), F.col("prev_n"), F.col("prev_at"), least))
     pairs = materialize(beside.select(F.greatest("node", "prev").alias("a"), F.least("node", "prev").alias("b")).distinct(), "simhash-pairs")
     links = materialize(by_bits.unionByName(same).unionByName(verified(pairs)), "simhash-links")
-    linked = components(links)
+    linked = components(links).hint("shuffle_merge")
+    roots = materialize(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "simhash-roots")
     for nearest in _NEAREST:
-        grouped = postings.join(linked.hint("shuffle_merge"), "node", "left").select("key", "node", "n", "at", "bits", F.coalesce("component", "node").alias("component"))
+        grouped = postings.join(roots.hint("shuffle_merge"), "node").select("key", "node", "n", "at", "bits", F.col("root").alias("component"))
         grouped = materialize(grouped, "simhash-grouped")
         apart = materialize(_across(grouped, least, nearest).join(pairs.hint("shuffle_merge"), ["a", "b"], "left_anti"), "simhash-apart")
         discard(grouped)
         more = materialize(verified(apart), "simhash-more")
         pairs = pairs.unionByName(apart)
-        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    linked = linked.hint("shuffle_merge")
+        if not more.isEmpty():
+            roots = _joined(roots, more)
 
-    roots = materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("root")), "simhash-roots")
     rows = materialize(seen.join(roots.hint("shuffle_merge"), "node").select("__id", "__file", "__row", "root"), "simhash-rows")
     # Written first, so that both sides are plain shuffles, of which Spark splits a very large group.
     leads = materialize(rows.groupBy("root").agg(F.min("__id").alias("component_id")), "simhash-leads")

@@ -209,14 +209,32 @@ def test_similar_texts_with_other_repeats_are_found(spark):
     assert kept == set(components([brute_fingerprint(r[1]) for r in rows], [r[0] for r in rows], [r[1] for r in rows])) == set(range(0, 80, 2))
 
 
-def test_pairs_across_components_are_all_met(spark):
+def _posted(spark):
     import random
 
     rng = random.Random(2)
-    rows = [(k, n, rng.choice((10, 12, 30)), rng.randrange(3), rng.randrange(4)) for k in range(5) for n in range(40)]
-    got = simhash._across(spark.createDataFrame(rows, "key long, node long, n int, at int, component long").repartition(3), 0.8)
-    want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and simhash._may_be(*a[2:4], *b[2:4], 0.8)}
-    assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+    rows = [(k, n, rng.choice((10, 12, 30)), rng.randrange(3), rng.getrandbits(63), rng.randrange(4)) for k in range(5) for n in range(40)]
+    frame = spark.createDataFrame(rows, "key long, node long, n int, at int, bits long, component long").repartition(3)
+    return frame, {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[5] != b[5] and simhash._may_be(*a[2:4], *b[2:4], 0.8)}
+
+
+def test_pairs_across_components_are_all_met(spark):
+    frame, want = _posted(spark)
+    assert {(r["a"], r["b"]) for r in simhash._across(frame, 0.8, None).collect()} == want and want
+
+
+def test_nearest_pairs_are_some_of_all(spark):
+    frame, want = _posted(spark)
+    few = {(r["a"], r["b"]) for r in simhash._across(frame, 0.8, 1).collect()}
+    more = {(r["a"], r["b"]) for r in simhash._across(frame, 0.8, 4).collect()}
+    assert few and few < more < want and {x for p in few for x in p} == {x for p in want for x in p}
+
+
+def test_joined_groups(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)], "node long, root long")
+    links = spark.createDataFrame([(5, 2), (3, 1), (2, 1)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash._joined(roots, links).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
 
 
 def test_near_empty_table(spark):
