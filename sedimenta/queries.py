@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.functions import scalars as S
 from sedimenta.functions.bytesafe import display_name
@@ -191,9 +197,17 @@ def dup_per_group_cap(spark, sf_dir):
     return duplicates.members(ent, duplicates.ordered(duplicates.groups(ent)), limits=SMALL).select("rank", "pos", "path")
 
 
-@query("dup_hardlinks", DUP + " SELECT rank, names, copies, reclaim FROM num WHERE copies < names")
+# Every fifth document has a second name of the same inode.
+@query(
+    "dup_hardlinks",
+    ENT + """, e AS (SELECT path, ino, size, hash FROM ent UNION ALL SELECT path || '.link', ino, size, hash FROM ent WHERE doc_id % 5 = 2),
+    g AS (SELECT hash, size, count(*) AS names, count(DISTINCT CASE WHEN ino = 0 THEN path ELSE ino::VARCHAR END) AS copies FROM e WHERE size > 0 GROUP BY hash, size)
+    SELECT hash, size, names, copies FROM g WHERE copies > 1 AND copies < names""",
+)
 def dup_hardlinks(spark, sf_dir):
-    return _groups(spark, sf_dir).where("copies < names").select("rank", "names", "copies", "reclaim")
+    ent = corpus_entries(spark, sf_dir).withColumn("nlink", F.col("nlink") + 1)
+    links = ent.where("doc_id % 5 = 2").withColumn("path", F.concat("path", F.lit(".link")))
+    return duplicates.groups(ent.unionByName(links)).where("copies < names").select("hash", "size", "names", "copies")
 
 
 @query("dup_reclaim_sparse", MEM + " SELECT rank, min(reclaim) AS reclaim, (sum(holes))::BIGINT AS holes FROM mem JOIN num USING (rank) GROUP BY rank HAVING sum(holes) > 0")
@@ -450,10 +464,10 @@ def conflict_capped(spark, sf_dir):
     "conflict_skew_sample",
     CON + """, s AS (SELECT *, count(*) OVER (PARTITION BY rank) AS n, row_number() OVER (PARTITION BY rank, hash ORDER BY path) AS e FROM mem),
     t AS (SELECT *, row_number() OVER (PARTITION BY rank, e <= 1 ORDER BY path) AS k FROM s)
-    SELECT rank, path FROM t WHERE n <= 3 OR e <= 1 AND k <= 2""",
+    SELECT rank, path FROM t WHERE n <= 1 OR e <= 1 AND k <= 1""",
 )
 def conflict_skew_sample(spark, sf_dir):
-    return conflicts.skew_sample(_conflicts(spark, sf_dir)[1], SMALL).select("rank", "path")
+    return conflicts.skew_sample(_conflicts(spark, sf_dir)[1], replace(SMALL, skewed_family=1, skew_sample=1)).select("rank", "path")
 
 
 @query("conflict_totals", CON + " SELECT count(*) AS groups, sum(members)::BIGINT AS files, sum(size * members)::BIGINT AS bytes, 0::BIGINT AS corrupt, 0::BIGINT AS reclaimable FROM fam")
@@ -667,7 +681,7 @@ def plan_sync_hits(spark, sf_dir):
     return moves.sync_hits(_members(spark, sf_dir), areas)
 
 
-@query("plan_sync_agreed", "SELECT false AS covered, 1::BIGINT AS open")
+@query("plan_sync_agreed", MEM + ", a AS (SELECT unnest(['/volume1/src0', '/volume1/src1/en', '/volume1', '/elsewhere']) AS folder, unnest(['cloud', 'drive', 'drive', 'cloud']) AS service), h AS (SELECT DISTINCT folder, service FROM mem JOIN a ON starts_with(path, folder || '/') WHERE folder <> '/volume1/src1/en') SELECT count_if(folder <> '/volume1') = 0 AS covered, count_if(folder <> '/volume1')::BIGINT AS open FROM h")
 def plan_sync_agreed(spark, sf_dir):
     hits = plan_sync_hits(spark, sf_dir).where("folder <> '/volume1/src1/en'")
     return moves.agreed_covers(hits, spark.createDataFrame([("/volume1", "drive")], "folder string, service string"))
@@ -815,21 +829,90 @@ def verdicts(spark, sf_dir):
     return conflicts.verdicts(known).select("rank", "path", "verdict", "label")
 
 
-@query("media_verify", "SELECT doc_id, 'unproven' AS state FROM documents")
+def _contained(text: bytes, kind: int) -> bytes:
+    """A text in a container, by kind: gzip, ZIP, PNG, PDF and JPEG; each whole, then damaged; any other kind: plain."""
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    what, bad = divmod(kind, 2)
+    if what == 0:
+        out = gzip.compress(text, 1, mtime=0)
+        return out[:-1] if bad else out
+    if what == 1:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr(zipfile.ZipInfo("a.txt"), b"." + text)
+        out = held.getvalue()
+        return out[:35] + b"!" + out[36:] if bad else out
+    if what == 2:
+        out = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", zlib.compress(text, 1)) + chunk(b"IEND", b"")
+        return out[:29] + bytes([out[29] ^ 1]) + out[30:] if bad else out
+    if what == 3:
+        data = zlib.compress(text, 1)
+        data = data[:-1] + bytes([data[-1] ^ 1]) if bad else data
+        return b"%%PDF-1.4\n1 0 obj << /Length %d /Filter /FlateDecode >>\nstream\n%b\nendstream endobj\n%%%%EOF" % (len(data), data)
+    if what == 4:
+        return b"\xff\xd8\xff\xda\x00\x04ab" + text + (b"" if bad else b"\xff\xd9")
+    return text
+
+
+@F.pandas_udf(T.BinaryType())
+def _containers(text: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([_contained(bytes(t), int(k)) for t, k in zip(text, kind, strict=True)], dtype=object)
+
+
+@query(
+    "media_verify",
+    "SELECT doc_id, CASE WHEN doc_id % 11 = 10 OR doc_id % 11 = 8 THEN 'unproven' WHEN doc_id % 11 % 2 = 1 THEN 'damaged' ELSE 'proven' END AS state FROM documents",
+)
 def media_verify(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", verify_content(F.col("text").cast("binary"))["state"].alias("state"))
+    content = _containers(F.coalesce("text", F.lit("")).cast("binary"), F.col("doc_id") % 11)
+    return docs.select("doc_id", verify_content(content)["state"].alias("state"))
 
 
-@query("media_captured", "SELECT page_id, '' AS captured FROM pages")
-def media_captured(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", captured_date(F.col("html").cast("binary"), F.lit("JPG")).alias("captured"))
+# Rungs in turn by document: a disk error, a damaged container, a content that changed, twins, an unreadable member.
+@query(
+    "verdict_rungs",
+    "WITH " + COPIES + """, m AS (
+        SELECT doc_id, doc_id % 5 AS rung, how, unnest(CASE doc_id % 5 WHEN 3 THEN ['/copy', '/copy2', '/original', '/original2'] ELSE ['/copy', '/original'] END) AS path FROM d WHERE n > 0)
+    SELECT doc_id AS rank, path, CASE WHEN rung = 1 THEN CASE path WHEN '/copy' THEN 'corrupt' ELSE 'intact' END
+        WHEN path LIKE '/copy%' AND (rung = 0 OR rung = 2 AND how <> 'mixed' OR rung = 3 AND how = 'tail') THEN 'corrupt' ELSE 'unknown' END AS verdict FROM m""",
+)
+def verdict_rungs(spark, sf_dir):
+    rung, none = F.col("doc_id") % 5, F.lit("")
+    whole, torn = (_containers("a", F.lit(k)) for k in (0, 1))
+    one = lambda path, content, error=none, prior=none: F.struct(F.lit(path).alias("path"), content.alias("content"), error.alias("read_error"), prior.alias("prior_hash"))
+    error = F.when(rung == 0, "EIO").when(rung == 4, "EACCES").otherwise("")
+    copy, original = F.when(rung == 1, torn).otherwise(F.col("b")), F.when(rung == 1, whole).otherwise(F.col("a"))
+    four = F.array(one("/copy", copy, error, F.when(rung == 2, F.sha2("a", 256)).otherwise("")), one("/original", original), one("/copy2", copy), one("/original2", original))
+    chosen = F.slice(four, F.lit(1), F.when(rung == 3, 4).otherwise(2))
+    rows = _copies(spark, sf_dir).where(F.octet_length("a") > 0).select(F.col("doc_id").alias("rank"), F.explode(chosen).alias("m")).select("rank", "m.*")
+    return conflicts.verdicts(rows.withColumn("hash", F.sha2("content", 256))).select("rank", "path", "verdict")
 
 
-@query("fn_display_name", ENT + " SELECT path, name AS display FROM ent")
+#: Up to the date of an Exif block in little-endian order: a TIFF head, one directory that points to the next, and the tag of the date.
+_TIFF = "49492A0008000000" + "0100" + "6987040001000000" + "1A000000" + "00000000" + "0100" + "0390020014000000" + "2C000000" + "00000000"
+
+
+# Dates by page: none, Exif in a JPEG, in a TIFF, and the head of a QuickTime film.
+@query("media_captured", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' ELSE strftime(make_timestamp((1577836800 + page_id * 3607) * 1000000), '%Y-%m-%d %H:%M:%S') END AS captured FROM pages")
+def media_captured(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("kind", F.col("page_id") % 4)
+    html, raw = F.coalesce("html", F.lit("")).cast("binary"), lambda hexed: F.unhex(F.lit(hexed))
+    when = F.expr("timestamp_ntz '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id * 3607)")
+    tiff = F.concat(raw(_TIFF), F.date_format(when, "yyyy:MM:dd HH:mm:ss").cast("binary"), raw("00"))
+    jpeg = F.concat(raw("FFD8FFE1" + "0048" + "457869660000"), tiff, raw("FFDA00046162"), html, raw("FFD9"))
+    since_1904 = F.unhex(F.lpad(F.hex(F.col("page_id") * 3607 + 1577836800 + 2082844800), 8, "0"))
+    film = F.concat(raw("0000000C" + "66747970" + "71742020" + "0000001C" + "6D6F6F76" + "00000014" + "6D766864" + "00000000"), since_1904, raw("00000000"), html)
+    content = F.when(F.col("kind") == 1, jpeg).when(F.col("kind") == 2, tiff).when(F.col("kind") == 3, film).otherwise(html)
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("JPG", "jpeg", "TIF", "mov")]), (F.col("kind") + 1).cast("int"))
+    return pages.select("page_id", captured_date(content, ext).alias("captured"))
+
+
+# Names that end in a byte that is no text, in a letter of two bytes, or in a character that stands for a byte.
+@query("fn_display_name", ENT + " SELECT path, name || CASE doc_id % 3 WHEN 0 THEN chr(1113855) WHEN 1 THEN 'é' ELSE chr(1113844) || chr(1113743) || chr(1113787) || chr(1113791) END AS display FROM ent")
 def fn_display_name(spark, sf_dir):
-    return corpus_entries(spark, sf_dir).select("path", display_name(F.col("name").cast("binary")).alias("display"))
+    end = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("FF", "C3A9", "F48FBBBF")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return corpus_entries(spark, sf_dir).select("path", display_name(F.concat(F.col("name").cast("binary"), end)).alias("display"))
 
 
 @query("journal_replay", ENT + " SELECT source AS batch, path, CASE doc_id % 4 WHEN 0 THEN 'moved' WHEN 1 THEN 'gone' ELSE 'unsettled' END AS outcome FROM ent WHERE doc_id % 4 <> 3")
