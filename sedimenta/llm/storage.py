@@ -1,32 +1,17 @@
-"""Shared working tables: lineage is cut by writing Parquet where every executor can read it."""
+"""Working tables of the training-data operators: dropped when used, and rows told apart by their place."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast, and bytes of the files they stand in; larger sides are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named a local one is chosen if all tasks run in this process, and else it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="sedimenta-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from sedimenta.working import fresh_dir, materialize, shared_root
 
+__all__ = ["fresh_dir", "materialize", "shared_root"]
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/sedimenta/{name}-{uuid.uuid4().hex[:12]}"
+#: Rows that may be broadcast, and bytes of the files they stand in; larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -35,13 +20,6 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a lost executor costs a re-read, not a recomputation."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of :func:`materialize` frames that nothing reads any more; others are left alone."""
     for df in frames:

@@ -6,18 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sedimenta.working import materialize
 
-def ranked(df: DataFrame, order: list[Column], most: int, name: str = "rank") -> DataFrame:
-    """The first ``most`` rows of a total order, numbered from 1.
+
+def ranked(df: DataFrame, order: list[Column], most: int | None, name: str = "rank") -> DataFrame:
+    """The first ``most`` rows of a total order (None: all), numbered from 1.
 
     ``most`` is a result's cap. The limit is a distributed top-k, so the window
     that numbers the rows sees that many at most.
     """
+    if most is None:
+        return _numbered(df, order, name)
     return df.orderBy(*order).limit(most).withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
+def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows numbered by a range sort: what a partition holds is written once and counted, and the counts of those before it are added."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__m", 33))
+    ahead = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each partition: as many as the session's shuffles have.
+    ahead = ahead.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    rank = F.col("__ahead") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1
+    return marked.join(F.broadcast(ahead), "__part").withColumn(name, rank).drop("__part", "__ahead", "__m")
+
+
 def capped(groups: DataFrame, budget: int, rows: str = "names", rank: str = "rank") -> DataFrame:
     """Ranked groups until their rows would go beyond the budget; the first always stays."""
+    # A group has a row at least, so no later one can be within the budget.
+    groups = groups.where(F.col(rank) <= max(budget, 1))
     running = F.sum(rows).over(W.orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow))
     return groups.withColumn("running", running).where((F.col("running") <= budget) | (F.col(rank) == 1)).drop("running")
 
