@@ -8,25 +8,27 @@ from pyspark.sql import Window as W
 
 from sedimenta.limits import LIMITS, Limits
 
+#: What names an entry; entries that can share a path need more.
+KEY = ("path",)
 COLUMNS = ["path", "size", "mod_unix", "pfx", "hash", "gen"]
 
 
-def latest(history: DataFrame, before: int) -> DataFrame:
-    """The last entry of each path of a generation before ``before``; earlier ones say nothing."""
+def latest(history: DataFrame, before: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The last entry of each path (or ``key``) of a generation before ``before``; earlier ones say nothing."""
     entry = F.struct("size", "mod_unix", "pfx", "hash", "gen")
-    return history.where(F.col("gen") < before).groupBy("path").agg(F.max_by(entry, "gen").alias("e")).select("path", "e.*")
+    return history.where(F.col("gen") < before).groupBy(*key).agg(F.max_by(entry, "gen").alias("e")).select(*key, "e.*")
 
 
-def changed(current: DataFrame, history: DataFrame, gen: int) -> DataFrame:
-    """path, prior_hash, hash where the last entry has today's size and time but other content.
+def changed(current: DataFrame, history: DataFrame, gen: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """path (or ``key``), prior_hash, hash where the last entry has today's size and time but other content.
 
     If that entry's size or time differs there is no evidence, whatever
     earlier generations hold. A past digest never stands in for reading today's
     content: ``current`` carries digests of this generation.
     """
-    past = latest(history, gen).select("path", "size", "mod_unix", F.col("hash").alias("prior_hash"), F.col("pfx").alias("prior_pfx"))
-    same = current.join(past, ["path", "size", "mod_unix"])
-    return same.where((F.col("prior_hash") != F.col("hash")) | (F.col("prior_pfx") != F.col("pfx"))).select("path", "prior_hash", "hash")
+    past = latest(history, gen, key).select(*key, "size", "mod_unix", F.col("hash").alias("prior_hash"), F.col("pfx").alias("prior_pfx"))
+    same = current.join(past, [*key, "size", "mod_unix"])
+    return same.where((F.col("prior_hash") != F.col("hash")) | (F.col("prior_pfx") != F.col("pfx"))).select(*key, "prior_hash", "hash")
 
 
 def still_current(evidence: DataFrame, stat: DataFrame) -> DataFrame:
@@ -34,9 +36,10 @@ def still_current(evidence: DataFrame, stat: DataFrame) -> DataFrame:
     return evidence.join(stat.select("path", "size", "mod_unix"), ["path", "size", "mod_unix"], "left_semi")
 
 
-def recorded(history: DataFrame, current: DataFrame, gen: int) -> DataFrame:
-    """The store after a run: one entry a path, this generation's where it has one."""
-    return history.select(*COLUMNS).join(current.select("path"), "path", "left_anti").unionByName(current.withColumn("gen", F.lit(gen)).select(*COLUMNS))
+def recorded(history: DataFrame, current: DataFrame, gen: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The store after a run: one entry a path (or ``key``), this generation's where it has one."""
+    columns = list(dict.fromkeys([*key, *COLUMNS]))
+    return history.select(*columns).join(current.select(*key), list(key), "left_anti").unionByName(current.withColumn("gen", F.lit(gen)).select(*columns))
 
 
 def trimmed(history: DataFrame, limits: Limits = LIMITS) -> DataFrame:

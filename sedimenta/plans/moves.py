@@ -37,10 +37,10 @@ def identity_ok(rows: DataFrame, now: DataFrame) -> DataFrame:
     return j.select("path", F.col("n_mod").isNotNull().alias("exists"), F.coalesce(same, F.lit(False)).alias("same"))
 
 
-def strongest_identity(rows: DataFrame) -> DataFrame:
-    """One row a path, the one that proves most: with a hash, else a prefix, else the first."""
+def strongest_identity(rows: DataFrame, key: tuple[str, ...] = ("path",)) -> DataFrame:
+    """One row a path (or ``key``), the one that proves most: with a hash, else a prefix, else the first."""
     strength = F.when(F.col("hash").isNotNull(), 2).when(F.col("pfx").isNotNull(), 1).otherwise(0)
-    return rows.groupBy("path").agg(F.max_by(F.struct("size", "mod_unix", "pfx", "hash", "is_dir"), F.struct(strength, -F.col("rank"))).alias("i")).select("path", "i.*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct("size", "mod_unix", "pfx", "hash", "is_dir"), F.struct(strength, -F.col("rank"))).alias("i")).select(*key, "i.*")
 
 
 def keep_one(members: DataFrame, group: str = "rank") -> DataFrame:

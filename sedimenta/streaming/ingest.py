@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from sedimenta.operators.history import KEY
+
 STATE = "size long, mod_unix long, pfx string, hash string, gen long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVIDENCE = "path string, prior_hash string, hash string, gen long"
 
 
 class PathHistory(StatefulProcessor):
-    """One state row a path: what it held when last seen. Emits a path whose content changed though size and time did not."""
+    """One state row a path (first column of the key): what it held when last seen. Emits a path whose content changed though size and time did not."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", STATE)
@@ -36,28 +38,28 @@ class PathHistory(StatefulProcessor):
         pass
 
 
-def changed_stream(entries: DataFrame) -> DataFrame:
-    """Evidence from a stream of (path, size, mod_unix, pfx, hash, gen); needs the RocksDB state store."""
-    return entries.groupBy("path").transformWithStateInPandas(statefulProcessor=PathHistory(), outputStructType=EVIDENCE, outputMode="append", timeMode="none")
+def changed_stream(entries: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Evidence from a stream of (path, size, mod_unix, pfx, hash, gen) and what else is in ``key``; needs the RocksDB state store."""
+    return entries.groupBy(*key).transformWithStateInPandas(statefulProcessor=PathHistory(), outputStructType=EVIDENCE, outputMode="append", timeMode="none")
 
 
-def changed_in(generations: tuple[DataFrame, ...], columns: list[str]) -> DataFrame:
+def changed_in(generations: tuple[DataFrame, ...], columns: list[str], key: tuple[str, ...] = KEY) -> DataFrame:
     """Evidence from generations that arrive one after the other, each as a batch of a stream that goes on."""
     spark = generations[0].sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sedimenta-")
     root = f"{root.rstrip('/')}/sedimenta/history-{uuid.uuid4().hex[:12]}"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
     try:
         for rows in generations:
             narrow = rows.select(*columns).withColumn("gen", F.col("gen").cast("long"))
             narrow.write.mode("append").parquet(f"{root}/in")
             stream = spark.readStream.schema(narrow.schema).parquet(f"{root}/in")
-            out = changed_stream(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+            out = changed_stream(stream, key).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
             out.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.schema(EVIDENCE).parquet(f"{root}/out")
 
 
