@@ -60,22 +60,23 @@ def groups(entries: DataFrame, match: Match = Match(), content: str = "hash") ->
     return whole.where("names > 1 and copies > 1")
 
 
-def ordered(found: DataFrame, limits: Limits = LIMITS, content: str = "hash") -> DataFrame:
-    """Groups by space freed, hash, first path; numbered. No more than half the cap in rows can be shown, so no more are ranked."""
+def ordered(found: DataFrame, limits: Limits | None = None, content: str = "hash") -> DataFrame:
+    """Groups by space freed, hash, first path; numbered. With ``limits`` no more than half the cap in rows, as no more can be shown."""
     order = [F.desc("reclaim"), F.col(content), F.col("first_path"), F.col("size")]
-    return ranked(found, order, limits.duplicate_rows // 2 + 1).withColumn("ext", ext_of(base_of("first_path")))
+    return ranked(found, order, limits and limits.duplicate_rows // 2 + 1).withColumn("ext", ext_of(base_of("first_path")))
 
 
-def members(entries: DataFrame, numbered: DataFrame, match: Match = Match(), limits: Limits = LIMITS, content: str = "hash") -> DataFrame:
-    """Rows of the groups with rank and pos (by path), the first ``group_rows`` of each.
+def members(entries: DataFrame, numbered: DataFrame, match: Match = Match(), limits: Limits | None = None, content: str = "hash") -> DataFrame:
+    """Rows of the groups with rank and pos (by path); with ``limits`` the first ``group_rows`` of each.
 
-    The limit on the position is pushed below the shuffle, so each task
+    That limit on the position is pushed below the shuffle, so each task
     passes on no more rows of a group than can be shown.
     """
     keys = ["size", *match.keys(), content]
     rows = candidates(entries, match).join(numbered.select(*keys, "rank"), keys)
     pos = F.row_number().over(W.partitionBy("rank").orderBy("path")).cast("long")
-    return rows.withColumn("pos", pos).where(F.col("pos") <= limits.group_rows)
+    placed = rows.withColumn("pos", pos)
+    return placed.where(F.col("pos") <= limits.group_rows) if limits else placed
 
 
 def totals(found: DataFrame) -> DataFrame:
