@@ -210,8 +210,13 @@ def set_name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def frequency_class(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that ascend as they do, eight to a doubling. Any common order of shingles will do for a prefix filter; a byte is all that tasks and the driver have to hold of a bucket."""
+    return np.minimum(np.round(8 * np.log2(1.0 + counts)), 255).astype(np.uint8)
+
+
 def _sketch(texts: DataFrame) -> np.ndarray:
-    """How many of ``texts(text)`` hold a shingle of each bucket."""
+    """The :func:`frequency_class` of how many of ``texts(text)`` hold a shingle of each bucket."""
     width = (1 << _SKETCH_BITS) // _SKETCH_PARTS
 
     def count(batches):
@@ -229,12 +234,12 @@ def _sketch(texts: DataFrame) -> np.ndarray:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
                 held[part] = held.get(part, 0) + np.frombuffer(counts.as_py(), dtype=np.int64)
         for part, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([counts.tobytes()])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], type=pa.int32()), pa.array([frequency_class(counts).tobytes()])], names=["part", "counts"])
 
-    out = np.zeros(1 << _SKETCH_BITS, dtype=np.int64)
+    out = np.zeros(1 << _SKETCH_BITS, dtype=np.uint8)
     schema = "part int, counts binary"
     for r in texts.select("text").mapInArrow(count, schema).repartition(_SKETCH_PARTS, "part").mapInArrow(add, schema).collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out
 
 
@@ -258,13 +263,14 @@ def _postings(texts: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
     ``n`` is the size of the set, ``at`` the shingle's place in its order,
     ``bits`` the set's fingerprint, ``prev`` the text before it under the key.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    shared = texts.sparkSession.sparkContext.broadcast(sketch.tobytes())
 
     def run(batches):
+        sketch = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [x for x in (shingle_set(t.as_py()) for t in batch.column("text")[at : at + 256]) if len(x)]
-                heads = [prefix(x, shared.value, least) for x in sets]
+                heads = [prefix(x, sketch, least) for x in sets]
                 if not heads:
                     continue
                 many = np.array([len(h) for h in heads])

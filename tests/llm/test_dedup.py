@@ -237,6 +237,16 @@ def test_joined_groups(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
 
 
+def test_sketch_is_a_byte_a_bucket(spark):
+    counts = np.concatenate([np.arange(3000), 1 << np.arange(12, 40)])
+    classes = simhash.frequency_class(counts)
+    assert classes.dtype == np.uint8 and (np.diff(classes.astype(int)) >= 0).all() and len(set(classes[:9])) == 9
+    texts = [" ".join(f"w{(i * j) % 50}" for j in range(40)) for i in range(30)]
+    sketch = simhash._sketch(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    want = Counter(int(x) >> 43 for t in texts for x in simhash.shingle_set(t))
+    assert sketch.nbytes == 1 << 21 and {int(i): int(sketch[i]) for i in np.flatnonzero(sketch)} == {k: int(simhash.frequency_class(np.array([n]))[0]) for k, n in want.items()}
+
+
 def test_near_empty_table(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
